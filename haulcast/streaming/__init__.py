@@ -1,0 +1 @@
+"""Every operator works on bounded tables, so this package holds no operators."""

@@ -90,6 +90,24 @@ def target_quantile_grid(spark, d):
     return rounded(spark.createDataFrame(rows, "level int, value double"), "value", digits=2)
 
 
+LEVELS = f"""
+SELECT v, min(i - 1) / 999.0 AS low, max(i - 1) / 999.0 AS high
+FROM (SELECT qs[i] AS v, i FROM (SELECT qs, unnest(range(1, 1001)) AS i FROM (
+        SELECT quantile_cont(transport_cost, [{', '.join(repr(i / 999) for i in range(1000))}]) AS qs
+        FROM shipments))) GROUP BY v"""
+
+
+@query("target_quantile_uniform", f"""
+SELECT row_id, {r("""CASE WHEN a.v = transport_cost THEN (a.low + a.high) / 2
+       ELSE a.high + (transport_cost - a.v) / (b.v - a.v) * (b.low - a.high) END""")} AS u
+FROM shipments ASOF LEFT JOIN levels a ON transport_cost >= a.v ASOF LEFT JOIN levels b ON transport_cost <= b.v""",
+       levels=LEVELS)
+def target_quantile_uniform(spark, d):
+    df = _cost(spark, d)
+    fitted = target.QuantileNormal.fit(df, Y)
+    return rounded(df.select("row_id", fitted.uniform(F.col(Y)).alias("u")), "u")
+
+
 @query("target_quantile_normal")
 def target_quantile_normal(spark, d):
     df = _cost(spark, d)

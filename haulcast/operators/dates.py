@@ -51,7 +51,7 @@ def _centre(df: DataFrame, col: str, use: str, fit_on: str, usable: Column, fram
     rows = df.filter(F.col(frame)) if fit_on == "train" else df
     if use == "mean":
         if fit_on == "frame":
-            return fit_by(df, frame, {"v": mean_where(usable, x)})("v")
+            return fit_by(df, frame, {"v": mean_where(usable, x)})["v"]
         return fit(rows, {"v": mean_where(usable, x)})["v"]
     if fit_on == "frame":
         return lookup(quantiles(df.filter(usable), [col], [0.5], by=frame), frame, col)

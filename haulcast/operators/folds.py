@@ -44,7 +44,7 @@ def balanced_fold_table(df: DataFrame, entity: str, k: int, out: str = "fold") -
     step = F.col("_rank") % (2 * k)
     table = materialise(order.select(
         entity, "_rows", F.when(step < k, step).otherwise(2 * k - 1 - step).cast("int").alias(out)), "folds")
-    return KeyedTable(table, entity, table.count(), "_rows")
+    return KeyedTable.of(table, entity, "_rows")
 
 
 def straddling_entities(df: DataFrame, entity: str, fold: str = "fold") -> DataFrame:

@@ -27,6 +27,14 @@ class KeyedTable:
     key: str
     keys: int
     row_share: str | None = None
+    rows: int | None = None
+
+    @classmethod
+    def of(cls, table: DataFrame, key: str, row_share: str | None = None) -> "KeyedTable":
+        """Count the keys, and the rows behind them, of a written table."""
+        rows = F.sum(row_share) if row_share else F.lit(None).cast("long")
+        size = table.agg(F.count("*").alias("keys"), rows.alias("rows")).first()
+        return cls(table, key, size["keys"], row_share, size["rows"])
 
     def attach(self, df: DataFrame, on: str | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
         """Left join onto rows by ``on``; unmatched rows get nulls.
@@ -45,9 +53,8 @@ class KeyedTable:
             side = self.table.select(F.col(self.key).alias("_k"), *values)
             return df.join(side, F.col(on) == F.col("_k"), "left").drop("_k")
 
-        total = self.table.agg(F.sum(self.row_share)).scalar()
         packed = self.table.select(F.col(self.key).alias("_k"), F.struct(*values).alias("_v"),
-                                   (F.col(self.row_share) * HOT_KEYS > total).alias("_hot"))
+                                   (F.col(self.row_share) * HOT_KEYS > F.lit(self.rows)).alias("_hot"))
         hot = packed.filter("_hot").select(F.col("_k").alias("_hk"), F.col("_v").alias("_hv"))
         cold = packed.filter("not _hot").select(F.col("_k").alias("_ck"), F.col("_v").alias("_cv"),
                                                 F.lit(0).alias("_cs"))
@@ -71,14 +78,12 @@ def keyed(df: DataFrame, key: str, aggs: Mapping[str, Column], name: str = "keye
         F.count("*").alias("_rows"), *[a.alias(n) for n, a in aggs.items()])
     if keep_rows:
         per_key = per_key.withColumn(keep_rows, F.col("_rows"))
-    table = materialise(per_key, name)
-    return KeyedTable(table, key, table.count(), "_rows")
+    return KeyedTable.of(materialise(per_key, name), key, "_rows")
 
 
 def as_keyed(table: DataFrame, key: str, name: str = "lookup") -> KeyedTable:
     """A given one-row-per-key table as a ``KeyedTable``."""
-    table = materialise(table, name)
-    return KeyedTable(table, key, table.count())
+    return KeyedTable.of(materialise(table, name), key)
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "ranked", rank: str = "rank",

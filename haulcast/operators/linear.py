@@ -82,13 +82,23 @@ class FoldModels:
 
 
 class Sums:
-    """Sums of products of (1, features, target), per fold."""
+    """Sums of products of (1, features, target), per fold.
 
-    def __init__(self, features: Sequence[str], by_fold: dict[int, np.ndarray]):
+    Columns are shifted by their overall means first: sums of large, nearly
+    constant columns would leave no digits for their spread.
+    """
+
+    def __init__(self, features: Sequence[str], by_fold: dict[int, np.ndarray], shift: np.ndarray):
         self.features = list(features)
         self.by_fold = by_fold
+        self.shift = shift
         self.total = sum(by_fold.values())
 
+    def model(self, sums: np.ndarray, penalty: Penalty) -> LinearModel:
+        """The model fitted on some of the sums, in terms of the unshifted columns."""
+        w, b = solve(sums, penalty)
+        return LinearModel(self.features, w, float(b + self.shift[-1] - self.shift[:-1] @ w), penalty)
+
     def outside(self, fold: int) -> np.ndarray:
         return sum(m for f, m in self.by_fold.items() if f != fold)
 
@@ -98,11 +108,13 @@ def collect_sums(df: DataFrame, features: Sequence[str], target: str, fold: str
     features = list(features)
     if len(features) > MAX_FEATURES:
         raise ValueError(f"{len(features)} features: use fit_wide beyond {MAX_FEATURES}")
+    names = [f"z{i}" for i in range(1, len(features) + 2)]
     data = df.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
-                     *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate([*features, target], 1)]).dropna()
-    width = len(features) + 2
+                     *[F.col(c).cast("double").alias(z) for z, c in zip(names, [*features, target])]).dropna()
+    shift = np.array(data.agg(*[F.avg(z) for z in names]).first(), dtype=float)
+    centred = data.select("fold", *[(F.col(z) - F.lit(float(m))).alias(z) for z, m in zip(names, shift)])
     gather = _sums_in_engine if len(features) <= IN_ENGINE_FEATURES else _sums_in_arrow
-    return Sums(features, gather(data, width))
+    return Sums(features, gather(centred, len(names) + 1), shift)
 
 
 def _sums_in_engine(data: DataFrame, width: int) -> dict[int, np.ndarray]:
@@ -158,7 +170,7 @@ def solve(sums: np.ndarray, penalty: Penalty, start: np.ndarray | None = None) -
 
 
 def _soft_descent(xx: np.ndarray, xy: np.ndarray, l1: float, l2: float, start: np.ndarray | None,
-                  rounds: int = 20_000, tolerance: float = 1e-12) -> np.ndarray:
+                  rounds: int = 20_000, tolerance: float = 1e-9) -> np.ndarray:
     """Minimise w'xx w/2 - xy'w + l1 |w|_1 + l2 |w|^2/2 one coordinate at a time."""
     w = np.zeros(len(xy)) if start is None else start.copy()
     scale = np.sqrt(np.diag(xx)).clip(min=1e-300)
@@ -184,15 +196,14 @@ def squared_error(sums: np.ndarray, w: np.ndarray, b: float) -> float:
 def fit_linear(df: DataFrame, features: Sequence[str], target: str, penalty: Penalty = Penalty()) -> LinearModel:
     """Fit one linear model in one pass."""
     sums = collect_sums(df, features, target)
-    return LinearModel(sums.features, *solve(sums.total, penalty), penalty)
+    return sums.model(sums.total, penalty)
 
 
 def fit_linear_by_fold(df: DataFrame, features: Sequence[str], target: str, penalty: Penalty = Penalty(),
                        fold: str = "fold") -> FoldModels:
     """One model per fold, all from one pass."""
     sums = collect_sums(df, features, target, fold)
-    return FoldModels({f: LinearModel(sums.features, *solve(sums.outside(f), penalty), penalty)
-                       for f in sorted(sums.by_fold)})
+    return FoldModels({f: sums.model(sums.outside(f), penalty) for f in sorted(sums.by_fold)})
 
 
 def default_path(sums: np.ndarray, points: int = 100, shrink: float = 1e-3) -> list[float]:
@@ -219,8 +230,8 @@ def fit_path_cv(df: DataFrame, features: Sequence[str], target: str, alphas: Seq
                 fold: str = "fold", l1_ratio: float = 1.0) -> tuple[LinearModel, DataFrame]:
     """Choose alpha by cross-validation and refit on all rows.
 
-    Returns the model and the table (alpha, mse): mean over folds of the held-out
-    error.
+    The largest of equally good alphas is taken. Returns the model and the table
+    (alpha, mse): mean over folds of the held-out error.
     """
     sums = collect_sums(df, features, target, fold)
     alphas = list(alphas) if alphas is not None else default_path(sums.total)
@@ -229,9 +240,8 @@ def fit_path_cv(df: DataFrame, features: Sequence[str], target: str, alphas: Seq
     for p, _, e in fold_errors(sums, penalties):
         errors.setdefault(p.alpha, []).append(e)
     path = [(float(a), float(np.mean(errors[a]))) for a in alphas]
-    best = Penalty("elastic_net", min(path, key=lambda r: r[1])[0], l1_ratio)
-    model = LinearModel(sums.features, *solve(sums.total, best), best)
-    return model, df.sparkSession.createDataFrame(path, "alpha double, mse double")
+    best = Penalty("elastic_net", min(path, key=lambda r: (r[1], -r[0]))[0], l1_ratio)
+    return sums.model(sums.total, best), df.sparkSession.createDataFrame(path, "alpha double, mse double")
 
 
 def fit_wide(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,

@@ -20,6 +20,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulcast.operators.stats import by_key
+
 MAX_BUCKET_ROWS = 1_000_000
 ACCURACY = 10_000
 
@@ -45,11 +47,7 @@ def approx_quantiles(df: DataFrame, col: str, probs: Sequence[float], accuracy:
 
 def lookup(values: dict, key: str, col: str, position: int = 0) -> Column:
     """Column that picks a fitted quantile of ``col`` by the row's ``key``."""
-    known = [(g, v[position]) for (g, c), v in values.items() if c == col and v[position] is not None]
-    if not known:
-        return F.lit(None).cast("double")
-    pairs = [F.lit(x) for g, v in known for x in (g, float(v))]
-    return F.create_map(*pairs)[F.col(key)]
+    return by_key(key, {g: v[position] for (g, c), v in values.items() if c == col})
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: str | None = None,

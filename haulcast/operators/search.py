@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulcast.operators.linear import LinearModel, Penalty, collect_sums, fold_errors, solve
+from haulcast.operators.linear import LinearModel, Penalty, collect_sums, fold_errors
 from haulcast.operators.metrics import METRICS
 from haulcast.operators.trees import TreeConfig, fit_gbt
 
@@ -59,8 +59,7 @@ def search_linear(df: DataFrame, features: Sequence[str], target: str, penalties
     rows = [(i, describe({"kind": p.kind, "alpha": p.alpha, "l1_ratio": p.l1_ratio}), s)
             for i, (p, s) in enumerate(zip(penalties, scores))]
     best = penalties[int(np.argmin(scores))]
-    model = LinearModel(sums.features, *solve(sums.total, best), best)
-    return df.sparkSession.createDataFrame(rows, TRIAL), model
+    return df.sparkSession.createDataFrame(rows, TRIAL), sums.model(sums.total, best)
 
 
 def _scores_by_rows(df, sums, penalties, target, fold, metric) -> list[float]:
@@ -69,8 +68,8 @@ def _scores_by_rows(df, sums, penalties, target, fold, metric) -> list[float]:
     rows = []
     for i, p in enumerate(penalties):
         for f in sorted(sums.by_fold):
-            w, b = solve(sums.outside(f), p)
-            rows.append((i, f, float(b), [float(x) for x in w]))
+            m = sums.model(sums.outside(f), p)
+            rows.append((i, f, m.intercept, m.coefficients.tolist()))
     table = spark.createDataFrame(rows, "trial int, fold int, b double, w array<double>")
     by_fold = table.groupBy("fold").agg(F.collect_list(F.struct("trial", "b", "w")).alias("trials"))
     known = df.select(F.col(fold).alias("fold"), F.col(target).cast("double").alias("y"),
@@ -86,8 +85,11 @@ def _scores_by_rows(df, sums, penalties, target, fold, metric) -> list[float]:
 
 def search_trees(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, base: TreeConfig,
                  trials: Sequence[Mapping], k: int, fold: str = "fold", metric: str = "mse",
-                 patience: int | None = None) -> DataFrame:
-    """Mean held-out metric of boosted trees for every parameter set; each fit is a distributed job."""
+                 patience: int | None = None, original: str | None = None) -> DataFrame:
+    """Mean held-out metric of boosted trees for every parameter set; each fit is a distributed job.
+
+    ``original`` names the untransformed target for metrics on its own scale.
+    """
     rows = []
     for i, parameters in enumerate(trials):
         config = replace(base, **parameters)
@@ -96,7 +98,7 @@ def search_trees(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
             train, held = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
             model = fit_gbt(train, numeric, categorical, target, config, held if patience else None, patience)
             scored = model.predict(held.dropna(subset=[target, *numeric]))
-            value = scored.agg(METRICS[metric](F.col(target), F.col("prediction"))).first()[0]
+            value = scored.agg(METRICS[metric](F.col(original or target), F.col("prediction"))).first()[0]
             if value is not None:
                 scores.append(value)
         rows.append((i, describe(parameters), float(np.mean(scores))))

@@ -1,14 +1,14 @@
 """Fitted statistics.
 
-A fit is one aggregation. Its single row comes back as scalar subqueries, so
-applying it needs no join and no driver action: ``fit`` for one set of rows,
-``fit_by`` for a handful of frames or folds, ``fit_excluding`` for everything
-outside each fold. Statistics per entity or category, whose number grows with
-the data, live in ``keyed`` instead.
+A fit is one aggregation, whose single row (or one row per frame or fold) comes
+to the driver and is applied as literals: one action to fit, none to apply, and
+the applied plan stays a plain projection over the scan. Statistics per entity
+or category, whose number grows with the data, live in ``keyed`` instead.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,52 +16,67 @@ from pyspark.sql import functions as F
 
 
 def fit(df: DataFrame, aggs: Mapping[str, Column]) -> dict[str, Column]:
-    """Aggregates over all rows of ``df`` as columns usable on any frame."""
-    row = df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("fit")).scalar()
-    return {n: row[n] for n in aggs}
+    """Aggregates over all rows of ``df`` as literal columns usable on any frame."""
+    fitted = df.agg(*[a.alias(n) for n, a in aggs.items()])
+    row = fitted.first()
+    return {f.name: F.lit(row[f.name]).cast(f.dataType) for f in fitted.schema.fields}
 
 
-def fit_by(df: DataFrame, key: str, aggs: Mapping[str, Column]) -> Callable[[str], Column]:
+def by_key(key: str, values: Mapping) -> Column:
+    """Literal lookup by the row's frame or fold; null where the key or its value is unknown."""
+    known = {k: float(v) for k, v in values.items() if k is not None and v is not None}
+    if not known:
+        return F.lit(None).cast("double")
+    return F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.col(key)]
+
+
+def fit_by(df: DataFrame, key: str, aggs: Mapping[str, Column]) -> dict[str, Column]:
     """Aggregates per value of ``key``, looked up by the row's own key.
 
-    ``key`` must be a frame tag or a fold number: the fitted row holds one entry
-    per value.
+    ``key`` must be a frame tag or a fold number: one row per value is collected.
+    """
+    rows = df.groupBy(key).agg(*[a.alias(n) for n, a in aggs.items()]).collect()
+    return {n: by_key(key, {row[key]: row[n] for row in rows}) for n in aggs}
+
+
+def moments_excluding(df: DataFrame, fold: str, cols: Sequence[str]) -> dict:
+    """``{(fold, column): (n, mean, population deviation)}`` over the rows outside each fold.
+
+    One pass gives the moments per fold; those of a complement are combined from
+    its folds, which loses no digits to subtraction.
     """
-    per_key = df.groupBy(key).agg(*[a.alias(n) for n, a in aggs.items()])
-    entry = F.struct(F.col(key).alias("key"), F.struct(*[F.col(n) for n in aggs]).alias("value"))
-    table = (per_key.filter(F.col(key).isNotNull())
-             .agg(F.map_from_entries(F.collect_list(entry)).alias("fit")).scalar())
-    return lambda name: table[F.col(key)][name]
+    rows = df.filter(F.col(fold).isNotNull()).groupBy(fold).agg(*[
+        F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("var")).alias(c)
+        for c in cols]).collect()
+    out = {}
+    for c in cols:
+        for own in rows:
+            parts = [row[c] for row in rows if row[fold] != own[fold] and row[c]["n"]]
+            n = sum(p["n"] for p in parts)
+            if not n:
+                out[own[fold], c] = (0, None, None)
+                continue
+            mean = math.fsum(p["n"] * p["mean"] for p in parts) / n
+            spread = math.fsum(p["n"] * (p["var"] + (p["mean"] - mean) ** 2) for p in parts) / n
+            out[own[fold], c] = (n, mean, math.sqrt(spread))
+    return out
 
 
 def fit_excluding(df: DataFrame, fold: str, cols: Sequence[str]) -> Callable[..., Column]:
-    """Moments of each column over the rows outside the row's own fold.
+    """Moments outside the row's fold as columns: look up with ``(column, 'n' | 'mean' | 'sd')``.
 
-    One pass gives count, mean and spread per fold; the moments of every
-    complement are then combined from those of its folds, which loses no digits
-    to subtraction. Look up with ``(column, 'n' | 'mean' | 'sd')``; ``sd`` is the
-    population deviation. A third argument names one fold to look up on all rows,
-    for training the model of that fold or scoring with it.
+    A third argument names one fold to look up on all rows, for training the
+    model of that fold or scoring with it.
     """
-    per_fold = df.filter(F.col(fold).isNotNull()).groupBy(fold).agg(
-        *[F.struct(F.count(c).cast("double").alias("n"),
-                   F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"),
-                   F.coalesce(F.var_pop(c), F.lit(0.0)).alias("var")).alias(c) for c in cols])
-    gathered = per_fold.agg(F.collect_list(F.struct(F.col(fold).alias("fold"), *cols)).alias("parts"))
-
-    def moments_outside(part: Column, name: str) -> Column:
-        others = F.filter("parts", lambda o: o["fold"] != part["fold"])
-        total = lambda f: F.aggregate(others, F.lit(0.0), lambda acc, o: acc + f(o[name]))
-        n = total(lambda m: m["n"])
-        mean = F.try_divide(total(lambda m: m["n"] * m["mean"]), n)
-        spread = total(lambda m: m["n"] * (m["var"] + (m["mean"] - mean) * (m["mean"] - mean)))
-        return F.struct(n.alias("n"), mean.alias("mean"), F.sqrt(F.try_divide(spread, n)).alias("sd"))
-
-    table = gathered.select(F.map_from_entries(F.transform(
-        "parts", lambda p: F.struct(p["fold"].alias("key"),
-                                    F.struct(*[moments_outside(p, c).alias(c) for c in cols]).alias("value")))
-    ).alias("fit")).scalar()
-    return lambda name, moment, at=None: table[F.col(fold) if at is None else F.lit(at)][name][moment]
+    moments = moments_excluding(df, fold, cols)
+    place = {"n": 0, "mean": 1, "sd": 2}
+
+    def look_up(name: str, moment: str, at=None) -> Column:
+        if at is not None:
+            return F.lit(moments[at, name][place[moment]]).cast("double")
+        return by_key(fold, {f: m[place[moment]] for (f, c), m in moments.items() if c == name})
+
+    return look_up
 
 
 def mean_where(condition: Column, x: Column) -> Column:
@@ -69,16 +84,15 @@ def mean_where(condition: Column, x: Column) -> Column:
     return F.avg(F.when(condition, x))
 
 
-def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     """Most frequent value per column as text, ties to the smallest, nulls not counted.
 
     Values are counted in a shuffle first, so no task holds all of a column's
     distinct values.
     """
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cols])).alias("p"))
-    counts = (pairs.filter(F.col("p.value").isNotNull())
-              .groupBy(F.col("p.name").alias("name"), F.col("p.value").alias("value")).count())
+    cells = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cols]
+    counts = (df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+              .groupBy("name", "value").count())
     best = counts.groupBy("name").agg(F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("value"))
-    table = best.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("fit")).scalar()
-    return {c: table[F.lit(c)] for c in cols}
+    found = {row["name"]: row["value"] for row in best.collect()}
+    return {c: found.get(c) for c in cols}

@@ -79,13 +79,26 @@ class TreeModel:
 
 
 def _learner(config: TreeConfig, target: str, bins: int) -> GBTRegressor:
+    # the learner fits trees to twice the residual under squared loss, so the step is halved
+    # for ``rate`` to mean the share of the residual that a tree corrects
+    step = config.rate / 2 if config.loss == "squared" else config.rate
     return GBTRegressor(
         featuresCol="features", labelCol=target, predictionCol="tree_prediction", maxIter=config.trees,
-        maxDepth=config.depth, stepSize=config.rate, minInstancesPerNode=config.min_rows,
+        maxDepth=config.depth, stepSize=step, minInstancesPerNode=config.min_rows,
         subsamplingRate=config.subsample, featureSubsetStrategy=config.features, lossType=config.loss,
         maxBins=max(config.bins, bins), seed=config.seed)
 
 
+def native_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Labels as sorted category indexes ``{c}_idx`` that tree learners take as categories.
+
+    Null gets the slot after the last label.
+    """
+    index = [f"{c}_idx" for c in cols]
+    return StringIndexer(inputCols=list(cols), outputCols=index, handleInvalid="keep",
+                         stringOrderType="alphabetAsc").fit(df).transform(df)
+
+
 def fit_gbt(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, config: TreeConfig,
             valid: DataFrame | None = None, patience: int | None = None) -> TreeModel:
     """Boosted trees; with ``valid``, cut back to the round with the lowest validation error.

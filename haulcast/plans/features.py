@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from haulcast.operators import dates, encode, entity, folds, scale
+from haulcast.operators import dates, encode, entity, folds, scale, target
 from haulcast.operators.quantiles import lookup, quantiles
 from haulcast.operators.stats import fit, fit_excluding, mean_where
 from haulcast.plans.registry import DURATION, bucket, query, r, rounded, ships, table
@@ -242,25 +242,27 @@ def encode_cross(spark, d):
 def _te_sql(c: str) -> str:
     """Direct per-fold means: one aggregation for every held-out fold."""
     means = " UNION ALL ".join(
-        f"SELECT {f} AS held, {c} AS v, avg(transport_cost) AS m FROM folded "
+        f"SELECT {f} AS held, {c} AS v, avg(y) AS m FROM folded "
         f"WHERE is_train AND fold <> {f} AND {c} IS NOT NULL GROUP BY {c}" for f in range(5))
     return f"""
-SELECT row_id, {r('avg(coalesce(means.m, fb.m))', 6)} AS {c}_te
+SELECT row_id, {r('avg(coalesce(means.m, fb.m))')} AS {c}_te
 FROM folded
 JOIN (SELECT held, avg(m) AS m FROM ({means}) GROUP BY held) fb ON fb.held = fold OR NOT is_train
 LEFT JOIN ({means}) means ON means.held = fb.held AND means.v = {c} GROUP BY row_id"""
 
 
-FOLDED = f"SELECT *, {bucket('row_id', 42, 5)} AS fold FROM shipments"
+FOLDED = f"""SELECT *, {bucket('row_id', 42, 5)} AS fold,
+         ln(1 + CASE WHEN transport_cost < 0 THEN 0 ELSE transport_cost END) AS y FROM shipments"""
 
 
 @query("encode_target_oof",
        f"SELECT * FROM ({_te_sql('transport_method')}) JOIN ({_te_sql('hospital_id')}) USING (row_id)", folded=FOLDED)
 def encode_target_oof(spark, d):
     df = folds.assign_folds(ships(spark, d, "row_id", E, "transport_method", Y, "is_train"), "row_id", 5)
-    out = encode.target_encode_oof(df, ["transport_method", E], Y, 5)
+    df = target.log_target(target.clip_lower(df, Y), Y, "y")
+    out = encode.target_encode_oof(df, ["transport_method", E], "y", 5)
     return rounded(out.select("row_id", "transport_method_te", "hospital_id_te"), "transport_method_te",
-                   "hospital_id_te", digits=6)
+                   "hospital_id_te")
 
 
 # scaling ------------------------------------------------------------------------------------------

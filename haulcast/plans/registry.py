@@ -56,7 +56,8 @@ def query(name: str, sql: str | None = None, **ctes: str) -> Callable[[Query], Q
         QUERIES[name] = fn
         if sql is not None:
             parts = {"shipments": SHIPMENTS_SQL, **ctes}
-            SQL[name] = "WITH " + ",\n".join(f"{n} AS ({body})" for n, body in parts.items()) + "\n" + sql
+            start = "WITH RECURSIVE " if "descent" in ctes else "WITH "
+            SQL[name] = start + ",\n".join(f"{n} AS ({body})" for n, body in parts.items()) + "\n" + sql
         return fn
 
     return keep

@@ -1,9 +1,9 @@
 """Linear models fitted from distributed sums.
 
-One pass adds up the products of all pairs of columns, per fold. Everything
-after that (solving for any penalty, leaving a fold out, the squared error of a
+One pass (two for many columns) adds up the products of all pairs of columns,
+per fold. Everything after that (solving for any penalty, leaving a fold out, the squared error of a
 held-out fold) needs those sums only, so a whole path of penalties over all
-folds costs the same single pass.
+folds costs no further pass.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_FEATURES = 2_000
-IN_ENGINE_FEATURES = 12
+IN_ENGINE_FEATURES = 8
 
 
 @dataclass(frozen=True)
@@ -110,35 +110,45 @@ def collect_sums(df: DataFrame, features: Sequence[str], target: str, fold: str
         raise ValueError(f"{len(features)} features: use fit_wide beyond {MAX_FEATURES}")
     names = [f"z{i}" for i in range(1, len(features) + 2)]
     data = df.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
-                     *[F.col(c).cast("double").alias(z) for z, c in zip(names, [*features, target])]).dropna()
+                     *[F.col(c).cast("double").alias(z) for z, c in zip(names, [*features, target])])
+    data = data.dropna(subset=names)
+    if len(features) <= IN_ENGINE_FEATURES:
+        return Sums(features, *_moments_in_engine(data, names))
     shift = np.array(data.agg(*[F.avg(z) for z in names]).first(), dtype=float)
     centred = data.select("fold", *[(F.col(z) - F.lit(float(m))).alias(z) for z, m in zip(names, shift)])
-    gather = _sums_in_engine if len(features) <= IN_ENGINE_FEATURES else _sums_in_arrow
-    return Sums(features, gather(centred, len(names) + 1), shift)
-
-
-def _sums_in_engine(data: DataFrame, width: int) -> dict[int, np.ndarray]:
-    z = [F.lit(1.0), *[F.col(f"z{i}") for i in range(1, width)]]
-    cells = [(i, j) for i in range(width) for j in range(i, width)]
-    rows = data.groupBy("fold").agg(*[F.sum(z[i] * z[j]).alias(f"s{i}_{j}") for i, j in cells]).collect()
+    return Sums(features, _sums_in_arrow(centred, names), shift)
+
+
+def _moments_in_engine(data: DataFrame, names: list[str]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """One aggregation of means and covariances per fold, for few columns."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    rows = data.groupBy("fold").agg(
+        F.count("*").alias("n"), *[F.avg(z).alias(z) for z in names],
+        *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]).collect()
+    rows = [row for row in rows if row["fold"] is not None]
+    means = {row["fold"]: np.array([row[z] for z in names]) for row in rows}
+    shift = sum(row["n"] * means[row["fold"]] for row in rows) / sum(row["n"] for row in rows)
     out = {}
-    for r in rows:
-        m = np.zeros((width, width))
-        for i, j in cells:
-            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
-        out[r["fold"]] = m
-    return out
+    for row in rows:
+        away = np.concatenate([[1.0], means[row["fold"]] - shift])
+        sums = row["n"] * np.outer(away, away)
+        for i, j in pairs:
+            sums[i + 1, j + 1] += row["n"] * row[f"c{i}_{j}"]
+            sums[j + 1, i + 1] = sums[i + 1, j + 1]
+        out[row["fold"]] = sums
+    return out, shift
 
 
-def _sums_in_arrow(data: DataFrame, width: int) -> dict[int, np.ndarray]:
-    names = [f"z{i}" for i in range(1, width)]
+def _sums_in_arrow(data: DataFrame, names: list[str]) -> dict[int, np.ndarray]:
+    """Products added up by tasks in Arrow batches, then across tasks as vectors, for many columns."""
+    width = len(names) + 1
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[int, np.ndarray] = {}
         for pdf in batches:
             z = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=float)])
             folds = pdf["fold"].to_numpy()
-            for f in np.unique(folds):
+            for f in np.unique(folds[~pd.isna(folds)]):
                 rows = z[folds == f]
                 acc[int(f)] = acc.get(int(f), 0) + rows.T @ rows
         for f, m in acc.items():

@@ -2,7 +2,8 @@
 
 The built-in exact percentile keeps every distinct value of a column in a single
 task. Here the wanted order statistics are located by counting rows between
-approximate splitters, and only the few buckets that hold them are ranked.
+approximate splitters, and only the few buckets that hold them are ranked. The
+narrow projection that the passes read is cached, and may spill to disk.
 Buckets that are still too large are split again, so the work per task stays
 bounded for any number of rows and any share of repeated values. Quantiles
 interpolate linearly between neighbouring values.
@@ -16,6 +17,7 @@ from collections import defaultdict
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,21 +66,31 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: st
                      *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
     if by:
         data = data.filter(F.col("g").isNotNull())
-    splits: list[list[float]] = [[] for _ in cols]
-    while True:
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _quantiles(data, cols, probs, by, leave_out, max_bucket_rows)
+    finally:
+        data.unpersist()
+
+
+def _quantiles(data: DataFrame, cols: list[str], probs: list[float], by, leave_out: bool, max_bucket_rows: int) -> dict:
+    counted, splits = _overview(data, len(cols), _grid(probs))
+    if len(probs) <= 16 and max((sum(n for (i, _, _), (n, _, _) in counted.items() if i == c)
+                                 for c in range(len(cols))), default=0) <= max_bucket_rows:
+        splits = [[] for _ in cols]
+    else:
         counted = _bucket_counts(data, splits)
-        targets = _targets(counted, len(cols), by, leave_out)
+    while True:
+        targets = sorted({g for _, g, _ in counted}) if by else [None]
         known, wanted = _locate(counted, targets, probs, leave_out)
         sizes = defaultdict(int)
         for (i, _, b), (n, _, _) in counted.items():
             sizes[i, b] += n
-        open_buckets = {(i, b) for i, _, b, _, _ in wanted}
-        heavy = {k for k in open_buckets if sizes[k] > max_bucket_rows}
-        if len(probs) > 16 and not any(splits):
-            heavy = open_buckets
+        heavy = {(i, b) for i, _, b, _, _ in wanted if sizes[i, b] > max_bucket_rows}
         if not heavy:
             break
-        _add_splitters(data, splits, heavy, probs)
+        _add_splitters(data, splits, heavy, _grid(probs))
+        counted = _bucket_counts(data, splits)
     known.update(_rank_buckets(data, splits, wanted, targets, leave_out))
 
     out = {}
@@ -96,12 +108,37 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: st
     return out
 
 
-def _counts_for(group, target, leave_out: bool) -> bool:
-    return group != target if leave_out else group == target
+def _grid(probs: list[float]) -> list[float]:
+    """Probabilities of the splitters: an even grid, and close brackets around the wanted ones."""
+    around = {min(1.0, max(0.0, p + d)) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)}
+    return sorted(around | set(np.linspace(0, 1, 33).tolist()))
+
 
+def _splitters(values: Sequence[float]) -> set[float]:
+    """Cut points at the given quantiles; a repeated one is also cut off above, to stand alone."""
+    cuts = set(values)
+    cuts.update(float(np.nextafter(v, math.inf)) for k, v in enumerate(values) if k == 0 or values[k - 1] == v)
+    return cuts
 
-def _targets(counted, width: int, by, leave_out: bool) -> list:
-    return sorted({g for _, g, _ in counted}) if by else [None]
+
+def _overview(data: DataFrame, width: int, grid: list[float]) -> tuple[dict, list[list[float]]]:
+    """Size and range of every column per group, and first splitters, in one aggregation."""
+    x = [F.col(f"x{i}") for i in range(width)]
+    rows = data.groupBy("g").agg(*[
+        F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+                 F.percentile_approx(v, grid, ACCURACY).alias("q")).alias(f"s{i}") for i, v in enumerate(x)]).collect()
+    counted, cuts = {}, [set() for _ in x]
+    for row in rows:
+        for i in range(width):
+            s = row[f"s{i}"]
+            if s["n"]:
+                counted[i, row["g"], 0] = (s["n"], s["lo"], s["hi"])
+                cuts[i] |= _splitters(s["q"])
+    return counted, [sorted(c) for c in cuts]
+
+
+def _counts_for(group, target, leave_out: bool) -> bool:
+    return group != target if leave_out else group == target
 
 
 def _long(data: DataFrame, splits: list[list[float]]) -> DataFrame:
@@ -115,7 +152,11 @@ def _long(data: DataFrame, splits: list[list[float]]) -> DataFrame:
     cells = [F.struct(F.lit(i).alias("i"),
                       (F.col(f"b{i}").cast("int") if splits[i] else F.lit(0)).alias("b"),
                       F.col(f"x{i}").alias("x")) for i in range(len(splits))]
-    return data.select("g", F.inline(F.array(*cells))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    if len(cells) == 1:
+        rows = data.select("g", cells[0].alias("cell")).select("g", "cell.i", "cell.b", "cell.x")
+    else:
+        rows = data.select("g", F.inline(F.array(*cells)))
+    return rows.filter(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
 def _bucket_counts(data: DataFrame, splits) -> dict:
@@ -147,20 +188,13 @@ def _locate(counted, targets, probs, leave_out) -> tuple[dict, list]:
     return known, wanted
 
 
-def _add_splitters(data: DataFrame, splits, heavy: set, probs) -> None:
-    """Cut each heavy bucket at approximate quantiles, and single out its repeated values."""
-    grid = set(np.linspace(0, 1, 33).tolist()) | {
-        min(1.0, max(0.0, p + d)) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)}
+def _add_splitters(data: DataFrame, splits, heavy: set, grid: list[float]) -> None:
+    """Cut each heavy bucket at its own approximate quantiles."""
     codes = [i * 1_000_000 + b for i, b in sorted(heavy)]
     rows = (_long(data, splits).filter((F.col("i") * 1_000_000 + F.col("b")).isin(codes))
-            .groupBy("i", "b").agg(F.percentile_approx("x", sorted(grid), ACCURACY).alias("q")).collect())
-    for r in rows:
-        cuts = set(splits[r["i"]])
-        seen = r["q"]
-        cuts.update(seen)
-        cuts.update(float(np.nextafter(v, math.inf)) for k, v in enumerate(seen)
-                    if k and seen[k - 1] == v or k == 0)
-        splits[r["i"]] = sorted(cuts)
+            .groupBy("i", "b").agg(F.percentile_approx("x", grid, ACCURACY).alias("q")).collect())
+    for row in rows:
+        splits[row["i"]] = sorted(set(splits[row["i"]]) | _splitters(row["q"]))
 
 
 def _rank_buckets(data: DataFrame, splits, wanted, targets, leave_out) -> dict:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import replace
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,23 +63,28 @@ def search_linear(df: DataFrame, features: Sequence[str], target: str, penalties
     return df.sparkSession.createDataFrame(rows, TRIAL), sums.model(sums.total, best)
 
 
+# errors per row of the metrics that sums of products cannot give
+ROW_ERRORS = {"mae": lambda y, p: np.abs(y - p), "mae_original_scale": lambda y, p: np.abs(y - np.expm1(p))}
+
+
 def _scores_by_rows(df, sums, penalties, target, fold, metric) -> list[float]:
-    """Mean held-out metric per trial; coefficients travel as one row per fold and trial."""
-    spark = df.sparkSession
-    rows = []
-    for i, p in enumerate(penalties):
-        for f in sorted(sums.by_fold):
-            m = sums.model(sums.outside(f), p)
-            rows.append((i, f, m.intercept, m.coefficients.tolist()))
-    table = spark.createDataFrame(rows, "trial int, fold int, b double, w array<double>")
-    by_fold = table.groupBy("fold").agg(F.collect_list(F.struct("trial", "b", "w")).alias("trials"))
-    known = df.select(F.col(fold).alias("fold"), F.col(target).cast("double").alias("y"),
-                      F.array(*[F.col(c).cast("double") for c in sums.features]).alias("x")).filter(
-        F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-    errors = known.join(F.broadcast(by_fold), "fold").select("fold", "y", "x", F.inline("trials")).select(
-        "trial", "fold", "y", F.aggregate(F.zip_with("x", "w", lambda a, c: a * c), F.col("b"),
-                                          lambda acc, v: acc + v).alias("p"))
-    per_fold = errors.groupBy("trial", "fold").agg(METRICS[metric](F.col("y"), F.col("p")).alias("m"))
+    """Mean held-out metric per trial: every batch is scored by all trials of its fold at once."""
+    models = {f: [sums.model(sums.outside(f), p) for p in penalties] for f in sums.by_fold}
+    weights = {f: np.column_stack([m.coefficients for m in ms]) for f, ms in models.items()}
+    intercepts = {f: np.array([m.intercept for m in ms]) for f, ms in models.items()}
+    names, errors = [f"z{i}" for i in range(len(sums.features))], ROW_ERRORS[metric]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for f, rows in pdf.groupby("fold"):
+                p = rows[names].to_numpy(dtype=float) @ weights[int(f)] + intercepts[int(f)]
+                e = errors(rows["y"].to_numpy(dtype=float)[:, None], p)
+                yield pd.DataFrame({"fold": int(f), "trial": range(e.shape[1]), "e": e.sum(0), "n": len(rows)})
+
+    data = df.select(F.col(fold).cast("int").alias("fold"), F.col(target).cast("double").alias("y"),
+                     *[F.col(c).cast("double").alias(z) for z, c in zip(names, sums.features)])
+    parts = data.dropna(subset=["y", *names]).mapInPandas(partial, "fold int, trial int, e double, n long")
+    per_fold = parts.groupBy("trial", "fold").agg((F.sum("e") / F.sum("n")).alias("m"))
     scored = {r["trial"]: r["s"] for r in per_fold.groupBy("trial").agg(F.avg("m").alias("s")).collect()}
     return [scored[i] for i in range(len(penalties))]
 

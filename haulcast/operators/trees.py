@@ -135,6 +135,15 @@ def best_round(errors: Sequence[float], patience: int | None = None) -> int:
     return best + 1
 
 
+def _fit_cached(learner, assembler: PipelineModel, rows: DataFrame, target: str):
+    """Fit on assembled rows kept in the cache, as every level of a tree reads them again."""
+    ready = assembler.transform(rows).select("features", target).persist()
+    try:
+        return learner.fit(ready)
+    finally:
+        ready.unpersist()
+
+
 def fit_tree(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
              depth: int = 5, bins: int = 64, min_rows: int = 1) -> TreeModel:
     """A single regression tree."""
@@ -142,7 +151,7 @@ def fit_tree(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     assembler, needed = tree_features(known, numeric, categorical)
     learner = DecisionTreeRegressor(featuresCol="features", labelCol=target, predictionCol="tree_prediction",
                                     maxDepth=depth, maxBins=max(bins, needed), minInstancesPerNode=min_rows)
-    return TreeModel(assembler, learner.fit(assembler.transform(known)), 1)
+    return TreeModel(assembler, _fit_cached(learner, assembler, known, target), 1)
 
 
 def fit_forest(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
@@ -152,4 +161,4 @@ def fit_forest(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     assembler, needed = tree_features(known, numeric, categorical)
     learner = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="tree_prediction",
                                     numTrees=trees, maxDepth=depth, maxBins=max(bins, needed), seed=seed)
-    return TreeModel(assembler, learner.fit(assembler.transform(known)), trees)
+    return TreeModel(assembler, _fit_cached(learner, assembler, known, target), trees)

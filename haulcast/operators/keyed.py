@@ -37,7 +37,7 @@ class KeyedTable:
         return cls(table, key, size["keys"], row_share, size["rows"])
 
     def attach(self, df: DataFrame, on: str | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-        """Left join onto rows by ``on``; unmatched rows get nulls.
+        """Left join onto rows by ``on``; unmatched rows get nulls, columns of the same name are replaced.
 
         A table counted to be small is broadcast. Beyond that, the keys that own
         more than one row in ``HOT_KEYS`` (at most ``HOT_KEYS`` of them) are
@@ -46,6 +46,7 @@ class KeyedTable:
         """
         on = on or self.key
         values = [c for c in self.table.columns if c not in (self.key, self.row_share)]
+        df = df.drop(*[c for c in values if c != on])
         if self.keys <= broadcast_keys:
             side = self.table.select(F.col(self.key).alias("_k"), *values)
             return df.join(F.broadcast(side), F.col(on) == F.col("_k"), "left").drop("_k")
@@ -53,16 +54,20 @@ class KeyedTable:
             side = self.table.select(F.col(self.key).alias("_k"), *values)
             return df.join(side, F.col(on) == F.col("_k"), "left").drop("_k")
 
+        # the salt of a key that is not hot is a function of the key, on both sides: a constant
+        # would be folded away and leave all settled rows with one join key
+        salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
         packed = self.table.select(F.col(self.key).alias("_k"), F.struct(*values).alias("_v"),
                                    (F.col(self.row_share) * HOT_KEYS > F.lit(self.rows)).alias("_hot"))
         hot = packed.filter("_hot").select(F.col("_k").alias("_hk"), F.col("_v").alias("_hv"))
         cold = packed.filter("not _hot").select(F.col("_k").alias("_ck"), F.col("_v").alias("_cv"),
-                                                F.lit(0).alias("_cs"))
+                                                salt("_k").alias("_cs"))
         rows = df.join(F.broadcast(hot), F.col(on) == F.col("_hk"), "left")
         settled = F.col("_hk").isNotNull() | F.col(on).isNull()
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int") + 1
-        rows = (rows.withColumn("_rk", F.when(~settled, F.col(on)))
-                .withColumn("_rs", F.when(settled, spread).otherwise(0)))
+        own = F.col(on).cast(self.table.schema[self.key].dataType)
+        rows = (rows.withColumn("_rs", F.when(settled, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+                                .otherwise(salt(own)))
+                .withColumn("_rk", F.when(~settled, own)))
         joined = rows.join(cold, (F.col("_rk") == F.col("_ck")) & (F.col("_rs") == F.col("_cs")), "left")
         picked = F.coalesce("_hv", "_cv")
         return joined.select(*df.columns, *[picked[c].alias(c) for c in values])

@@ -73,15 +73,18 @@ def label_encode(df: DataFrame, cols: Sequence[str], where: Column | None = None
     Labels not seen in the fit get ``unknown``.
     """
     text = {c: F.col(c).cast("string") if null_label is None else labelled(F.col(c), null_label) for c in cols}
-    listed = materialise(_pairs(_rows(df, where), text).distinct(), "labels")
-    sizes = _per_column(listed, cols)
+    listed = materialise(_pairs(_rows(df, where), text).groupBy("name", "value")
+                         .agg(F.count("*").alias("_rows")), "labels")
+    sizes = _per_column(listed, cols, "_rows")
     for c in cols:
-        labels = listed.filter(F.col("name") == c).select("value")
-        if sizes[c][0] <= BROADCAST_KEYS:
-            codes = labels.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias(c + suffix))
+        n, rows = sizes[c]
+        labels = listed.filter(F.col("name") == c).select("value", "_rows")
+        if n <= BROADCAST_KEYS:
+            codes = labels.select("value", "_rows", (F.row_number().over(Window.orderBy("value")) - 1).alias(c + suffix))
         else:
             codes = materialise(ranked(labels, [F.asc("value")], "label-order", c + suffix), "codes")
-        df = KeyedTable(codes, "value", sizes[c][0]).attach(df.withColumn("_label", text[c]), on="_label").drop("_label")
+        side = KeyedTable(codes, "value", n, "_rows", rows)
+        df = side.attach(df.withColumn("_label", text[c]), on="_label").drop("_label")
         if unknown is not None:
             df = df.withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(unknown)))
     return df

@@ -51,8 +51,7 @@ class KeyedTable:
             side = self.table.select(F.col(self.key).alias("_k"), *values)
             return df.join(F.broadcast(side), F.col(on) == F.col("_k"), "left").drop("_k")
         if self.row_share is None:
-            side = self.table.select(F.col(self.key).alias("_k"), *values)
-            return df.join(side, F.col(on) == F.col("_k"), "left").drop("_k")
+            return self._with_shares(df, on).attach(df, on, broadcast_keys)
 
         # the salt of a key that is not hot is a function of the key, on both sides: a constant
         # would be folded away and leave all settled rows with one join key
@@ -73,6 +72,14 @@ class KeyedTable:
         return joined.select(*df.columns, *[picked[c].alias(c) for c in values])
 
 
+    def _with_shares(self, df: DataFrame, on: str) -> "KeyedTable":
+        """The same table with the number of rows of ``df`` behind each key."""
+        shares = df.filter(F.col(on).isNotNull()).groupBy(F.col(on).alias("_k")).agg(F.count("*").alias("_n"))
+        table = self.table.join(shares, F.col(self.key) == F.col("_k"), "left").withColumn(
+            "_rows", F.coalesce("_n", F.lit(0))).drop("_k", "_n")
+        return KeyedTable.of(materialise(table, "shares"), self.key, "_rows")
+
+
 def keyed(df: DataFrame, key: str, aggs: Mapping[str, Column], name: str = "keyed",
           keep_rows: str | None = None) -> KeyedTable:
     """Aggregate per key, pre-aggregated before the shuffle; null keys are left out.

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_FEATURES = 2_000
+MAX_CATEGORIES = 100_000
 IN_ENGINE_FEATURES = 8
 
 
@@ -255,7 +256,7 @@ def fit_path_cv(df: DataFrame, features: Sequence[str], target: str, alphas: Seq
 
 
 def fit_wide(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
-             penalty: Penalty = Penalty()) -> PipelineModel:
+             penalty: Penalty = Penalty(), max_categories: int = MAX_CATEGORIES) -> PipelineModel:
     """Linear model over sparse one-hot vectors, for more features than fit a dense matrix.
 
     Null and unseen categories give all zeros. The solver scales the target by
@@ -266,6 +267,10 @@ def fit_wide(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     hot = [f"{c}_hot" for c in categorical]
     stages = []
     if categorical:
+        sizes = df.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first().asDict()
+        too_many = [c for c, n in sizes.items() if n > max_categories]
+        if too_many:
+            raise ValueError(f"more than {max_categories} categories in {too_many}: encode by count or target")
         stages = [StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep",
                                 stringOrderType="alphabetAsc"),
                   OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True, handleInvalid="error")]

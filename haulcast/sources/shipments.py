@@ -59,24 +59,22 @@ def _definitions() -> dict[str, tuple[set[str], Column]]:
     }
 
 
-# join order matters: customer needs orders, nation needs customer
-_JOINS = {
-    "orders": ("l_orderkey", "o_orderkey"),
-    "customer": ("o_custkey", "c_custkey"),
-    "part": ("l_partkey", "p_partkey"),
-    "supplier": ("l_suppkey", "s_suppkey"),
-    "nation": ("c_nationkey", "n_nationkey"),
-}
-
-
 def shipments(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
     """Deliveries with the requested columns, in the order asked for."""
     definitions = _definitions()
     names = list(definitions) if columns is None else list(dict.fromkeys(columns))
     needed = set().union(*(definitions[n][0] for n in names))
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    for table, (left, right) in _JOINS.items():
+    read = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = read("lineitem")
+    if needed & {"orders", "customer", "nation"}:
+        # customers and nations join the orders first: fewer rows than lines, shuffled once
+        order = read("orders")
+        if needed & {"customer", "nation"}:
+            order = order.join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        if "nation" in needed:
+            order = order.join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        df = df.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+    for table, line_key, key in (("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey")):
         if table in needed:
-            side = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-            df = df.join(side, F.col(left) == F.col(right), "inner")
+            df = df.join(read(table), F.col(line_key) == F.col(key))
     return df.select(*[definitions[n][1].alias(n) for n in names])

@@ -102,6 +102,14 @@ def test_attach_spreads_hot_rows(spark, monkeypatch):
     assert sizes.sum() == 3000 and sizes.max() < 1000
 
 
+def test_attach_a_large_lookup_without_shares(spark, rows, monkeypatch):
+    monkeypatch.setattr(keyed, "HOT_KEYS", 10)
+    names = rows([("hot", 1.5), ("k1", 2.5), ("unused", 3.5)], "name string, v double")
+    out = keyed.as_keyed(names, "name").attach(skewed(spark), on="key", broadcast_keys=0)
+    got = {(r["key"], r["v"]) for r in out.select("key", "v").distinct().collect()}
+    assert out.count() == 3000 and {("hot", 1.5), ("k1", 2.5), ("k2", None)} <= got
+
+
 @pytest.mark.parametrize("short", [0, 1_000])
 def test_ranked_is_the_global_order(spark, short):
     df = spark.range(500).select((F.col("id") * 7919 % 503).alias("v"))
@@ -124,6 +132,18 @@ def test_group_folds_keep_entities_together(spark, balance):
     assert row["entities"] == 98 and row["straddling_entities"] == 0 and df.count() == 3000
 
 
+def test_balanced_folds_around_a_giant(spark):
+    df = folds.assign_group_folds(skewed(spark, 9000), "key", 4, balance=True)
+    sizes = sorted(df.groupBy("fold").count().toPandas()["count"])
+    assert sizes[-1] == 3000 and sizes[0] > 1200
+
+
+def test_level_of_filled_folds():
+    assert folds._level([0, 0, 0], 9) == 3
+    assert folds._level([5, 0, 0], 9) == 2
+    assert folds._level([4, 3, 0], 9) == 2
+
+
 def te_by_hand(pdf, k):
     out = {}
     for f in range(k):

@@ -142,10 +142,7 @@ def brute(train, query, k):
 
 
 @pytest.mark.parametrize("cells, block", [(1, 20_000), (16, 20_000), (16, 25)])
-def test_knn_equals_brute_force(spark, monkeypatch, cells, block):
-    from haulcast.operators import knn
-
-    monkeypatch.setattr(knn, "ROWS_PER_CELL", 1)
+def test_knn_equals_brute_force(spark, cells, block):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 3)) * 10
     v = np.concatenate([centres[rng.integers(0, 8, 300)] + rng.normal(size=(300, 3)), np.zeros((150, 3))])

@@ -7,15 +7,17 @@ import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import replace
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.operators.linear import LinearModel, Penalty, collect_sums, fold_errors
 from haulcast.operators.metrics import METRICS
-from haulcast.operators.trees import TreeConfig, fit_gbt
+from haulcast.operators.trees import TreeConfig, fit_assembled, tree_features
 
 TRIAL = "trial int, parameters string, score double"
 
@@ -91,23 +93,36 @@ def _scores_by_rows(df, sums, penalties, target, fold, metric) -> list[float]:
 
 def search_trees(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, base: TreeConfig,
                  trials: Sequence[Mapping], k: int, fold: str = "fold", metric: str = "mse",
-                 patience: int | None = None, original: str | None = None) -> DataFrame:
-    """Mean held-out metric of boosted trees for every parameter set; each fit is a distributed job.
+                 patience: int | None = None, original: str | None = None, parallelism: int = 4) -> DataFrame:
+    """Mean held-out metric of boosted trees for every parameter set.
 
+    The rows are assembled and cached once; each fit of a trial on a fold is a
+    distributed job, and ``parallelism`` of them are submitted at a time.
     ``original`` names the untransformed target for metrics on its own scale.
     """
-    rows = []
-    for i, parameters in enumerate(trials):
-        config = replace(base, **parameters)
-        scores = []
-        for f in range(k):
-            train, held = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
-            model = fit_gbt(train, numeric, categorical, target, config, held if patience else None, patience)
-            scored = model.predict(held.dropna(subset=[target, *numeric]))
-            value = scored.agg(METRICS[metric](F.col(original or target), F.col("prediction"))).first()[0]
-            if value is not None:
-                scores.append(value)
-        rows.append((i, describe(parameters), float(np.mean(scores))))
+    known = df.dropna(subset=[target, *numeric])
+    assembler, bins = tree_features(known, numeric, categorical)
+    truth = original or target
+    ready = assembler.transform(known).select("features", *dict.fromkeys([target, truth, fold])).persist()
+
+    def held_out(job: tuple[int, int]) -> float | None:
+        trial, f = job
+        train, held = ready.filter(F.col(fold) != f), ready.filter(F.col(fold) == f)
+        model, _, _ = fit_assembled(train, target, replace(base, **trials[trial]), bins,
+                                    held if patience else None, patience)
+        return model.transform(held).agg(METRICS[metric](F.col(truth), F.col("tree_prediction"))).first()[0]
+
+    jobs = [(i, f) for i in range(len(trials)) for f in range(k)]
+    try:
+        with ThreadPool(parallelism) as pool:
+            scores = pool.map(inheritable_thread_target(df.sparkSession)(held_out), jobs)
+    finally:
+        ready.unpersist()
+    found: dict[int, list[float]] = {}
+    for (i, _), score in zip(jobs, scores):
+        if score is not None:
+            found.setdefault(i, []).append(score)
+    rows = [(i, describe(p), float(np.mean(found[i])) if i in found else None) for i, p in enumerate(trials)]
     return df.sparkSession.createDataFrame(rows, TRIAL)
 
 

@@ -110,20 +110,29 @@ def fit_gbt(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], t
     assembler, bins = tree_features(known, numeric, categorical)
     ready = assembler.transform(known).select("features", target).persist()
     try:
-        learner = _learner(config, target, bins)
-        model = learner.fit(ready)
-        if valid is None:
-            return TreeModel(assembler, model, config.trees)
-        held = assembler.transform(valid.dropna(subset=[target, *numeric])).select("features", target)
-        errors = model.evaluateEachIteration(held, config.loss)
-        best = best_round(errors, patience)
-        if best < config.trees:
-            model = learner.copy({learner.maxIter: best}).fit(ready)
-        return TreeModel(assembler, model, best, list(errors))
+        held = None
+        if valid is not None:
+            held = assembler.transform(valid.dropna(subset=[target, *numeric])).select("features", target)
+        model, rounds, errors = fit_assembled(ready, target, config, bins, held, patience)
+        return TreeModel(assembler, model, rounds, errors)
     finally:
         ready.unpersist()
 
 
+def fit_assembled(ready: DataFrame, target: str, config: TreeConfig, bins: int, held: DataFrame | None = None,
+                  patience: int | None = None) -> tuple[GBTRegressionModel, int, list[float] | None]:
+    """Boost on rows with assembled ``features``: model, rounds kept, validation error per round."""
+    learner = _learner(config, target, bins)
+    model = learner.fit(ready)
+    if held is None:
+        return model, config.trees, None
+    errors = list(model.evaluateEachIteration(held, config.loss))
+    best = best_round(errors, patience)
+    if best < config.trees:
+        model = learner.copy({learner.maxIter: best}).fit(ready)
+    return model, best, errors
+
+
 def best_round(errors: Sequence[float], patience: int | None = None) -> int:
     """1-based round with the lowest error before patience runs out; the earliest on ties."""
     best = 0

@@ -12,24 +12,33 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from haulcast.operators import encode, folds, impute, search, target, trees
-from haulcast.plans.registry import query, r, rounded, ships
+from haulcast.plans.registry import bucket, query, r, rounded, ships
 from haulcast.roles import SHIPMENTS
+from haulcast.session import materialise
 
 Y = "transport_cost"
 NUMERIC = list(SHIPMENTS.numeric)
 CATEGORIES = ["equipment_type", "transport_method", "hospital_info", "hospital_location"]
 
-STUMP_ROWS = """
-SELECT row_id, hospital_location AS loc, equipment_width AS q, transport_cost AS y
+STUMP_ROWS = f"""
+SELECT row_id, hospital_location AS loc, coalesce(transport_method, '~') AS method, equipment_width AS q,
+       transport_cost AS y, {bucket('hospital_id', 42, 5)} = 0 AS held
 FROM shipments WHERE is_train AND transport_cost IS NOT NULL"""
 
 
-def _stump(source: str, n: int) -> dict[str, str]:
-    """CTEs that find the best single cut of ``source`` and predict its rows as p{n}."""
+def _stump(source: str, n: int, features: tuple[str, ...] = ("loc", "q"), rows: str = "true") -> dict[str, str]:
+    """CTEs that find the best single cut on some rows of ``source`` and predict all its rows as p{n}.
+
+    Labels are ordered by their mean, the number q by itself.
+    """
+    cells = " UNION ALL ".join(
+        f"SELECT '{f}' AS f, {f}::varchar AS v, {'q' if f == 'q' else 'avg(y)'} AS k, count(*) AS n, sum(y) AS s "
+        f"FROM {source} WHERE {rows} GROUP BY {f}" for f in features)
+    labels = [f for f in features if f != "q"]
+    joins = " ".join(f"JOIN cells{n} c_{f} ON c_{f}.f = '{f}' AND c_{f}.v = {f}" for f in labels)
+    keys = " ".join(f"WHEN '{f}' THEN c_{f}.k" for f in labels)
     return {
-        f"cells{n}": f"""
-SELECT 'loc' AS f, loc AS v, avg(y) AS k, count(*) AS n, sum(y) AS s FROM {source} GROUP BY loc
-UNION ALL SELECT 'q', q::varchar, q, count(*), sum(y) FROM {source} GROUP BY q""",
+        f"cells{n}": cells,
         f"cuts{n}": f"""
 SELECT f, k, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY f) AS nt,
        sum(s) OVER (PARTITION BY f) AS st FROM cells{n} WINDOW w AS (PARTITION BY f ORDER BY k, v)""",
@@ -37,14 +46,22 @@ SELECT f, k, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY
 SELECT f, k AS cut, sl / nl AS low, (st - sl) / (nt - nl) AS high FROM cuts{n} WHERE nt > nl
 ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC LIMIT 1""",
         f"fitted{n}": f"""
-SELECT {source}.*, CASE WHEN CASE best{n}.f WHEN 'q' THEN q ELSE c.k END <= cut THEN low ELSE high END AS p{n}
-FROM {source} JOIN cells{n} c ON c.f = 'loc' AND c.v = loc, best{n}""",
+SELECT {source}.*, CASE WHEN CASE best{n}.f WHEN 'q' THEN q {keys} END <= cut THEN low ELSE high END AS p{n}
+FROM {source} CROSS JOIN best{n} {joins}""",
     }
 
 
 def _stump_rows(spark, d):
-    return ships(spark, d, "row_id", "hospital_location", "equipment_width", Y, "is_train").filter(
-        f"is_train and {Y} is not null").drop("is_train")
+    df = ships(spark, d, "row_id", "hospital_id", "hospital_location", "transport_method", "equipment_width", Y,
+               "is_train").filter(f"is_train and {Y} is not null").drop("is_train")
+    return folds.assign_group_folds(df, "hospital_id", 5)
+
+
+def _stumps(spark, d, config, numeric=("equipment_width",), labels=("hospital_location",)):
+    df = _stump_rows(spark, d)
+    model = trees.fit_gbt(df, list(numeric), list(labels), Y, replace(config, trees=2, depth=1, subsample=1.0,
+                                                                      features="all"))
+    return rounded(model.predict(df).select("row_id", "prediction"), "prediction")
 
 
 @query("fit_decision_tree", f"SELECT row_id, {r('p1')} AS prediction FROM fitted1",
@@ -59,10 +76,45 @@ def fit_decision_tree(spark, d):
        rows0=STUMP_ROWS, **_stump("rows0", 1), rows1="SELECT * REPLACE (y - p1 AS y) FROM fitted1",
        **_stump("rows1", 2))
 def fit_gbt(spark, d):
+    return _stumps(spark, d, trees.BOOSTED)
+
+
+@query("fit_gbt_abs", f"SELECT row_id, {r('p1 + 0.01 * p2')} AS prediction FROM fitted2",
+       rows0=STUMP_ROWS, **_stump("rows0", 1),
+       rows1="SELECT * REPLACE (CASE WHEN y < p1 THEN -1.0::double ELSE 1.0::double END AS y) FROM fitted1",
+       **_stump("rows1", 2))
+def fit_gbt_abs(spark, d):
+    return _stumps(spark, d, trees.LEAFWISE_ABSOLUTE)
+
+
+TWO_LABELS = ("loc", "method")
+
+
+@query("fit_gbt_categorical", f"SELECT row_id, {r('p1 + 0.01 * p2')} AS prediction FROM fitted2",
+       rows0=STUMP_ROWS, **_stump("rows0", 1, TWO_LABELS), rows1="SELECT * REPLACE (y - p1 AS y) FROM fitted1",
+       **_stump("rows1", 2, TWO_LABELS))
+def fit_gbt_categorical(spark, d):
+    return _stumps(spark, d, trees.CATEGORICAL, [], ["hospital_location", "transport_method"])
+
+
+ROUNDS = """
+SELECT 1::int AS round, avg((y - p1) ** 2) AS e FROM fitted1 WHERE held
+UNION ALL SELECT 2::int, avg((y - 0.1 * p2) ** 2) FROM fitted2 WHERE held
+UNION ALL SELECT 3::int, avg((y - 0.1 * p3) ** 2) FROM fitted3 WHERE held"""
+
+
+@query("early_stopping", f"""
+SELECT round, {r('e', 1)} AS validation_error, e = (SELECT min(e) FROM rounds) AS is_best FROM rounds""",
+       rows0=STUMP_ROWS, **_stump("rows0", 1, rows="NOT held"),
+       rows1="SELECT * REPLACE (y - p1 AS y) FROM fitted1", **_stump("rows1", 2, rows="NOT held"),
+       rows2="SELECT * REPLACE (y - 0.1 * p2 AS y) FROM fitted2", **_stump("rows2", 3, rows="NOT held"), rounds=ROUNDS)
+def early_stopping(spark, d):
     df = _stump_rows(spark, d)
-    config = replace(trees.BOOSTED, trees=2, depth=1)
-    model = trees.fit_gbt(df, ["equipment_width"], ["hospital_location"], Y, config)
-    return rounded(model.predict(df).select("row_id", "prediction"), "prediction")
+    model = trees.fit_gbt(df.filter("fold <> 0"), ["equipment_width"], ["hospital_location"], Y,
+                          replace(trees.BOOSTED, trees=3, depth=1), df.filter("fold = 0"), 200)
+    rows = [(i + 1, float(e), i + 1 == model.rounds) for i, e in enumerate(model.errors)]
+    out = spark.createDataFrame(rows, "round int, validation_error double, is_best boolean")
+    return rounded(out, "validation_error", digits=1)
 
 
 @query("encode_native_category", "SELECT row_id, " + ", ".join(
@@ -84,7 +136,7 @@ def tree_frame(spark, d):
     df = impute.impute_median(impute.flags_to_int(df, SHIPMENTS.flags), NUMERIC, F.col("is_train"))
     df = folds.assign_group_folds(df, "hospital_id", 5)
     df = encode.count_encode(impute.impute_constant(df, CATEGORIES), ["hospital_id"])
-    df = encode.target_encode_oof(df, ["hospital_id"], "y", 5)
+    df = materialise(encode.target_encode_oof(df, ["hospital_id"], "y", 5), "tree-frame")
     return df, [*NUMERIC, *SHIPMENTS.flags, "hospital_id_count", "hospital_id_te"], CATEGORIES
 
 
@@ -106,18 +158,18 @@ def fit_gbt_leafwise(spark, d):
     return _boosted(spark, d, trees.with_rounds(trees.LEAFWISE_SHALLOW, 5))[1]
 
 
-@query("fit_gbt_abs")
-def fit_gbt_abs(spark, d):
+@query("fit_gbt_abs_full")
+def fit_gbt_abs_full(spark, d):
     return _boosted(spark, d, trees.with_rounds(trees.LEAFWISE_ABSOLUTE, 5))[1]
 
 
-@query("fit_gbt_categorical")
-def fit_gbt_categorical(spark, d):
+@query("fit_gbt_categorical_full")
+def fit_gbt_categorical_full(spark, d):
     return _boosted(spark, d, trees.with_rounds(trees.CATEGORICAL, 5))[1]
 
 
-@query("early_stopping")
-def early_stopping(spark, d):
+@query("early_stopping_full")
+def early_stopping_full(spark, d):
     model, _ = _boosted(spark, d, trees.with_rounds(trees.BOOSTED, 8), valid=True, patience=3)
     rows = [(i + 1, float(e), i + 1 == model.rounds) for i, e in enumerate(model.errors)]
     return spark.createDataFrame(rows, "round int, validation_error double, is_best boolean")

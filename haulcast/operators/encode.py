@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.functions.values import labelled
-from haulcast.operators.keyed import BROADCAST_KEYS, KeyedTable, ranked
+from haulcast.operators import keyed
+from haulcast.operators.keyed import KeyedTable, ranked
 from haulcast.session import materialise
 
 ONE_HOT_LIMIT = 1_000
@@ -79,14 +80,13 @@ def label_encode(df: DataFrame, cols: Sequence[str], where: Column | None = None
     for c in cols:
         n, rows = sizes[c]
         labels = listed.filter(F.col("name") == c).select("value", "_rows")
-        if n <= BROADCAST_KEYS:
-            codes = labels.select("value", "_rows", (F.row_number().over(Window.orderBy("value")) - 1).alias(c + suffix))
-        else:
-            codes = materialise(ranked(labels, [F.asc("value")], "label-order", c + suffix), "codes")
+        codes = ranked(labels, [F.asc("value")], "label-order", c + suffix, n)
+        if n > keyed.BROADCAST_KEYS:
+            codes = materialise(codes, "codes")
         side = KeyedTable(codes, "value", n, "_rows", rows)
         df = side.attach(df.withColumn("_label", text[c]), on="_label").drop("_label")
         if unknown is not None:
-            df = df.withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(unknown)))
+            df = df.withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(unknown).cast("long")))
     return df
 
 

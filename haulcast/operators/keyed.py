@@ -36,7 +36,7 @@ class KeyedTable:
         size = table.agg(F.count("*").alias("keys"), rows.alias("rows")).first()
         return cls(table, key, size["keys"], row_share, size["rows"])
 
-    def attach(self, df: DataFrame, on: str | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    def attach(self, df: DataFrame, on: str | None = None) -> DataFrame:
         """Left join onto rows by ``on``; unmatched rows get nulls, columns of the same name are replaced.
 
         A table counted to be small is broadcast. Beyond that, the keys that own
@@ -47,11 +47,11 @@ class KeyedTable:
         on = on or self.key
         values = [c for c in self.table.columns if c not in (self.key, self.row_share)]
         df = df.drop(*[c for c in values if c != on])
-        if self.keys <= broadcast_keys:
+        if self.keys <= BROADCAST_KEYS:
             side = self.table.select(F.col(self.key).alias("_k"), *values)
             return df.join(F.broadcast(side), F.col(on) == F.col("_k"), "left").drop("_k")
         if self.row_share is None:
-            return self._with_shares(df, on).attach(df, on, broadcast_keys)
+            return self._with_shares(df, on).attach(df, on)
 
         # the salt of a key that is not hot is a function of the key, on both sides: a constant
         # would be folded away and leave all settled rows with one join key
@@ -99,17 +99,17 @@ def as_keyed(table: DataFrame, key: str, name: str = "lookup") -> KeyedTable:
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "ranked", rank: str = "rank",
-           short: int = BROADCAST_KEYS) -> DataFrame:
+           rows: int | None = None) -> DataFrame:
     """Number the rows 0..n-1 in the given order, in parallel.
 
     A list counted to be short is numbered in one task. A longer one is range
     partitioned and written with its partition; positions inside a partition are
     then shifted by the sizes of the partitions before it. ``order`` must tell
-    all rows apart.
+    all rows apart; ``rows`` saves the count where it is known.
     """
-    listed = materialise(df, name)
-    if listed.count() <= short:
-        return listed.withColumn(rank, F.row_number().over(Window.orderBy(*order)) - 1)
+    listed = materialise(df, name) if rows is None else df
+    if (listed.count() if rows is None else rows) <= BROADCAST_KEYS:
+        return listed.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialise(listed.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), name)
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))

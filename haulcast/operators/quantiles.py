@@ -53,7 +53,7 @@ def lookup(values: dict, key: str, col: str, position: int = 0) -> Column:
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: str | None = None,
-              leave_out: bool = False, max_bucket_rows: int = MAX_BUCKET_ROWS) -> dict:
+              leave_out: bool = False, max_bucket_rows: int | None = None) -> dict:
     """Exact quantiles as ``{(group, column): [value per prob]}``.
 
     ``by`` names a frame or fold column with few values. With ``leave_out`` the
@@ -68,7 +68,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: st
         data = data.filter(F.col("g").isNotNull())
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _quantiles(data, cols, probs, by, leave_out, max_bucket_rows)
+        return _quantiles(data, cols, probs, by, leave_out, max_bucket_rows or MAX_BUCKET_ROWS)
     finally:
         data.unpersist()
 

@@ -195,7 +195,7 @@ def encode_one_hot(spark, d):
 
 
 @query("encode_label", "SELECT row_id, " + ", ".join(
-    f"(dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1)::int AS {c}_code" for c in [E, *LABELS])
+    f"dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS {c}_code" for c in [E, *LABELS])
        + " FROM shipments")
 def encode_label(spark, d):
     names = [E, *LABELS]
@@ -203,7 +203,7 @@ def encode_label(spark, d):
 
 
 @query("encode_ordinal_unknown", """
-SELECT row_id, coalesce(code, -1)::int AS hospital_id_code FROM shipments LEFT JOIN (
+SELECT row_id, coalesce(code, -1)::bigint AS hospital_id_code FROM shipments LEFT JOIN (
   SELECT hospital_id, row_number() OVER (ORDER BY hospital_id) - 1 AS code
   FROM (SELECT DISTINCT hospital_id FROM shipments WHERE is_train)) USING (hospital_id)""")
 def encode_ordinal_unknown(spark, d):
@@ -232,7 +232,7 @@ FROM shipments"""
 
 
 @query("encode_cross", """
-SELECT row_id, type_by_method, (dense_rank() OVER (ORDER BY type_by_method) - 1)::int AS type_by_method_code
+SELECT row_id, type_by_method, dense_rank() OVER (ORDER BY type_by_method) - 1 AS type_by_method_code
 FROM crossed""", crossed=CROSSED)
 def encode_cross(spark, d):
     df = encode.cross(ships(spark, d, "row_id", *LABELS), *LABELS, "type_by_method").drop(*LABELS)

@@ -75,10 +75,11 @@ def test_most_frequent(rows):
 def test_attach_with_hot_null_and_unseen_keys(spark, broadcast_keys, monkeypatch):
     df = skewed(spark)
     monkeypatch.setattr(keyed, "HOT_KEYS", 10)
+    monkeypatch.setattr(keyed, "BROADCAST_KEYS", broadcast_keys)
     stats = keyed.keyed(df, "key", {"mean": F.avg("x")}, keep_rows="n")
     extra = df.limit(3).select("row_id", F.lit(None).cast("string").alias("key"), "x", "fold").unionByName(
         df.limit(2).select("row_id", F.lit("new").alias("key"), "x", "fold"))
-    out = stats.attach(df.unionByName(extra), broadcast_keys=broadcast_keys).toPandas()
+    out = stats.attach(df.unionByName(extra)).toPandas()
     pdf = df.toPandas()
     means, sizes = pdf.groupby("key").x.mean(), pdf.groupby("key").size()
     known = out[out.key.isin(means.index)]
@@ -89,8 +90,9 @@ def test_attach_with_hot_null_and_unseen_keys(spark, broadcast_keys, monkeypatch
 
 def test_attach_spreads_hot_rows(spark, monkeypatch):
     monkeypatch.setattr(keyed, "HOT_KEYS", 10)
+    monkeypatch.setattr(keyed, "BROADCAST_KEYS", 0)
     df = skewed(spark)
-    plan = keyed.keyed(df, "key", {"mean": F.avg("x")}).attach(df, broadcast_keys=0)
+    plan = keyed.keyed(df, "key", {"mean": F.avg("x")}).attach(df)
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
     for name, value in settings.items():
         spark.conf.set(name, value)
@@ -104,16 +106,18 @@ def test_attach_spreads_hot_rows(spark, monkeypatch):
 
 def test_attach_a_large_lookup_without_shares(spark, rows, monkeypatch):
     monkeypatch.setattr(keyed, "HOT_KEYS", 10)
+    monkeypatch.setattr(keyed, "BROADCAST_KEYS", 0)
     names = rows([("hot", 1.5), ("k1", 2.5), ("unused", 3.5)], "name string, v double")
-    out = keyed.as_keyed(names, "name").attach(skewed(spark), on="key", broadcast_keys=0)
+    out = keyed.as_keyed(names, "name").attach(skewed(spark), on="key")
     got = {(r["key"], r["v"]) for r in out.select("key", "v").distinct().collect()}
     assert out.count() == 3000 and {("hot", 1.5), ("k1", 2.5), ("k2", None)} <= got
 
 
 @pytest.mark.parametrize("short", [0, 1_000])
-def test_ranked_is_the_global_order(spark, short):
+def test_ranked_is_the_global_order(spark, monkeypatch, short):
+    monkeypatch.setattr(keyed, "BROADCAST_KEYS", short)
     df = spark.range(500).select((F.col("id") * 7919 % 503).alias("v"))
-    out = keyed.ranked(df, [F.asc("v")], short=short).toPandas().sort_values("v")
+    out = keyed.ranked(df, [F.asc("v")]).toPandas().sort_values("v")
     assert out["rank"].tolist() == list(range(500))
 
 

@@ -182,19 +182,35 @@ def solve(sums: np.ndarray, penalty: Penalty, start: np.ndarray | None = None) -
 
 def _soft_descent(xx: np.ndarray, xy: np.ndarray, l1: float, l2: float, start: np.ndarray | None,
                   rounds: int = 20_000, tolerance: float = 1e-9) -> np.ndarray:
-    """Minimise w'xx w/2 - xy'w + l1 |w|_1 + l2 |w|^2/2 one coordinate at a time."""
+    """Minimise w'xx w/2 - xy'w + l1 |w|_1 + l2 |w|^2/2 one coordinate at a time.
+
+    Sweeps over the nonzero coordinates until they settle, then over all, until a
+    sweep over all changes nothing any more.
+    """
     w = np.zeros(len(xy)) if start is None else start.copy()
-    scale = np.sqrt(np.diag(xx)).clip(min=1e-300)
-    live = [j for j in range(len(xy)) if xx[j, j] > 0]
-    for _ in range(rounds):
+    diagonal = np.diag(xx).copy()
+    scale = np.sqrt(diagonal)
+    live = np.nonzero(diagonal > 0)[0]
+    residual = xy - xx @ w
+
+    def sweep(coordinates: np.ndarray) -> bool:
         moved = 0.0
-        for j in live:
-            pull = xy[j] - xx[j] @ w + xx[j, j] * w[j]
-            new = np.sign(pull) * max(abs(pull) - l1, 0.0) / (xx[j, j] + l2)
-            moved = max(moved, abs(new - w[j]) * scale[j])
-            w[j] = new
-        if moved <= tolerance * max(1.0, float(np.max(np.abs(w) * scale))):
+        for j in coordinates:
+            pull = residual[j] + diagonal[j] * w[j]
+            new = (pull - l1 if pull > l1 else pull + l1 if pull < -l1 else 0.0) / (diagonal[j] + l2)
+            change = new - w[j]
+            if change:
+                residual[:] -= xx[j] * change
+                w[j] = new
+                moved = max(moved, abs(change) * scale[j])
+        return moved > tolerance * max(1.0, float(np.max(np.abs(w) * scale)))
+
+    for _ in range(rounds):
+        if not sweep(live):
             break
+        for _ in range(rounds):
+            if not sweep(np.nonzero(w)[0]):
+                break
     return w
 
 

@@ -26,6 +26,8 @@ from haulcast.operators.stats import by_key
 
 MAX_BUCKET_ROWS = 1_000_000
 ACCURACY = 10_000
+EVEN_CUTS = 257
+SKETCHES = 64
 
 
 def quantile(df: DataFrame, col: str, p: float) -> float | None:
@@ -74,7 +76,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: st
 
 
 def _quantiles(data: DataFrame, cols: list[str], probs: list[float], by, leave_out: bool, max_bucket_rows: int) -> dict:
-    counted, splits = _overview(data, len(cols), _grid(probs))
+    grid = _Grid(probs)
+    counted, splits = _overview(data, len(cols), grid)
     if len(probs) <= 16 and max((sum(n for (i, _, _), (n, _, _) in counted.items() if i == c)
                                  for c in range(len(cols))), default=0) <= max_bucket_rows:
         splits = [[] for _ in cols]
@@ -89,7 +92,7 @@ def _quantiles(data: DataFrame, cols: list[str], probs: list[float], by, leave_o
         heavy = {(i, b) for i, _, b, _, _ in wanted if sizes[i, b] > max_bucket_rows}
         if not heavy:
             break
-        _add_splitters(data, splits, heavy, _grid(probs))
+        _add_splitters(data, splits, heavy, grid)
         counted = _bucket_counts(data, splits)
     known.update(_rank_buckets(data, splits, wanted, targets, leave_out))
 
@@ -108,33 +111,62 @@ def _quantiles(data: DataFrame, cols: list[str], probs: list[float], by, leave_o
     return out
 
 
-def _grid(probs: list[float]) -> list[float]:
-    """Probabilities of the splitters: an even grid, and close brackets around the wanted ones."""
-    around = {min(1.0, max(0.0, p + d)) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)}
-    return sorted(around | set(np.linspace(0, 1, 33).tolist()))
+class _Grid:
+    """Probabilities asked of the sketches: an even grid, and close brackets around the wanted ones."""
 
+    def __init__(self, probs: list[float]):
+        self.even = np.linspace(0, 1, EVEN_CUTS).tolist()
+        self.low = [max(0.0, p - 2 / ACCURACY) for p in probs]
+        self.high = [min(1.0, p + 2 / ACCURACY) for p in probs]
+        self.asked = sorted({*self.even, *self.low, *self.high})
+        self.place = {p: k for k, p in enumerate(self.asked)}
 
-def _splitters(values: Sequence[float]) -> set[float]:
-    """Cut points at the given quantiles; a repeated one is also cut off above, to stand alone."""
-    cuts = set(values)
-    cuts.update(float(np.nextafter(v, math.inf)) for k, v in enumerate(values) if k == 0 or values[k - 1] == v)
-    return cuts
+    def sketch(self, x: Column) -> Column:
+        return F.percentile_approx(x, self.asked, ACCURACY)
 
+    def cuts(self, sketches: list[tuple[int, list[float]]]) -> set[float]:
+        """Cut points from the (rows, values) of one column's sketches.
 
-def _overview(data: DataFrame, width: int, grid: list[float]) -> tuple[dict, list[list[float]]]:
+        The even cuts are quantiles of the pooled sketches; a repeated one is
+        also cut off above, to stand alone. The brackets reach over all sketches.
+        """
+        values = np.array([v for _, v in sketches])
+        points = values[:, [self.place[p] for p in self.even]]
+        weights = np.repeat([n for n, _ in sketches], points.shape[1])
+        order = np.argsort(points, axis=None, kind="stable")
+        reached = np.cumsum(weights[order])
+        at = np.searchsorted(reached, np.array(self.even) * reached[-1]).clip(max=len(order) - 1)
+        even = points.ravel()[order][at].tolist()
+        cuts = set(even)
+        cuts.update(float(np.nextafter(v, math.inf)) for k, v in enumerate(even) if k == 0 or even[k - 1] == v)
+        cuts.update(values[:, [self.place[p] for p in self.low]].min(0).tolist())
+        cuts.update(values[:, [self.place[p] for p in self.high]].max(0).tolist())
+        return cuts
+
+
+def _in_parts(data: DataFrame) -> DataFrame:
+    """Deal the input partitions out to a few sketches, so that no task merges those of all partitions."""
+    return data.withColumn("part", F.spark_partition_id() % SKETCHES)
+
+
+def _overview(data: DataFrame, width: int, grid: _Grid) -> tuple[dict, list[list[float]]]:
     """Size and range of every column per group, and first splitters, in one aggregation."""
     x = [F.col(f"x{i}") for i in range(width)]
-    rows = data.groupBy("g").agg(*[
+    rows = _in_parts(data).groupBy("g", "part").agg(*[
         F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-                 F.percentile_approx(v, grid, ACCURACY).alias("q")).alias(f"s{i}") for i, v in enumerate(x)]).collect()
-    counted, cuts = {}, [set() for _ in x]
+                 grid.sketch(v).alias("q")).alias(f"s{i}") for i, v in enumerate(x)]).collect()
+    counted, sketches = {}, defaultdict(list)
     for row in rows:
         for i in range(width):
-            s = row[f"s{i}"]
+            s, key = row[f"s{i}"], (i, row["g"], 0)
             if s["n"]:
-                counted[i, row["g"], 0] = (s["n"], s["lo"], s["hi"])
-                cuts[i] |= _splitters(s["q"])
-    return counted, [sorted(c) for c in cuts]
+                n, lo, hi = counted.get(key, (0, s["lo"], s["hi"]))
+                counted[key] = (n + s["n"], min(lo, s["lo"]), max(hi, s["hi"]))
+                sketches[i, row["g"]].append((s["n"], s["q"]))
+    splits = [set() for _ in x]
+    for (i, _), found in sketches.items():
+        splits[i] |= grid.cuts(found)
+    return counted, [sorted(c) for c in splits]
 
 
 def _counts_for(group, target, leave_out: bool) -> bool:
@@ -188,13 +220,16 @@ def _locate(counted, targets, probs, leave_out) -> tuple[dict, list]:
     return known, wanted
 
 
-def _add_splitters(data: DataFrame, splits, heavy: set, grid: list[float]) -> None:
+def _add_splitters(data: DataFrame, splits, heavy: set, grid: _Grid) -> None:
     """Cut each heavy bucket at its own approximate quantiles."""
     codes = [i * 1_000_000 + b for i, b in sorted(heavy)]
-    rows = (_long(data, splits).filter((F.col("i") * 1_000_000 + F.col("b")).isin(codes))
-            .groupBy("i", "b").agg(F.percentile_approx("x", grid, ACCURACY).alias("q")).collect())
+    rows = (_in_parts(_long(data, splits).filter((F.col("i") * 1_000_000 + F.col("b")).isin(codes)))
+            .groupBy("i", "b", "part").agg(F.count("*").alias("n"), grid.sketch(F.col("x")).alias("q")).collect())
+    sketches = defaultdict(list)
     for row in rows:
-        splits[row["i"]] = sorted(set(splits[row["i"]]) | _splitters(row["q"]))
+        sketches[row["i"], row["b"]].append((row["n"], row["q"]))
+    for (i, _), found in sketches.items():
+        splits[i] = sorted(set(splits[i]) | grid.cuts(found))
 
 
 def _rank_buckets(data: DataFrame, splits, wanted, targets, leave_out) -> dict:

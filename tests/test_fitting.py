@@ -271,3 +271,13 @@ def test_fit_on_empty_frame_gives_null(rows):
     df = rows([], "x double")
     one = rows([(1,)], "id int")
     assert one.select(fit(df, {"m": F.avg("x")})["m"].alias("m")).first()["m"] is None
+
+
+@pytest.mark.parametrize("sort", [False, True])
+def test_quantiles_of_many_partitions(spark, sort):
+    """Sketches over sorted partitions see different values each; the result stays exact."""
+    df = skewed(spark, 6000)
+    df = df.repartitionByRange(40, "x") if sort else df.repartition(40)
+    x = np.array([r["x"] for r in df.collect()])
+    probs = [0.001, 0.3, 0.5, 0.77, 0.999]
+    assert np.allclose(quantiles(df, ["x"], probs, max_bucket_rows=25)[None, "x"], np.quantile(x, probs))

@@ -30,11 +30,12 @@ def _rows(df: DataFrame, where: Column | None) -> DataFrame:
     return df if where is None else df.filter(where)
 
 
-def _per_column(table: DataFrame, cols: Sequence[str], rows: str | None = None) -> dict[str, tuple[int, int]]:
-    """Number of distinct values, and of rows behind them, per column."""
-    found = table.groupBy("name").agg(F.count("*").alias("n"), F.sum(rows or F.lit(1)).alias("rows")).collect()
-    sizes = {r["name"]: (r["n"], r["rows"]) for r in found}
-    return {c: sizes.get(c, (0, 0)) for c in cols}
+def _per_column(table: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, int, int]]:
+    """Number of distinct values, of rows behind them, and of bytes in them, per column."""
+    found = table.groupBy("name").agg(F.count("*").alias("n"), F.sum("_rows").alias("rows"),
+                                      keyed.text_bytes("value").alias("bytes")).collect()
+    sizes = {r["name"]: (r["n"], r["rows"], r["bytes"]) for r in found}
+    return {c: sizes.get(c, (0, 0, 0)) for c in cols}
 
 
 def category_lists(df: DataFrame, cols: Sequence[str], limit: int = ONE_HOT_LIMIT) -> dict[str, list[str]]:
@@ -76,14 +77,14 @@ def label_encode(df: DataFrame, cols: Sequence[str], where: Column | None = None
     text = {c: F.col(c).cast("string") if null_label is None else labelled(F.col(c), null_label) for c in cols}
     listed = materialise(_pairs(_rows(df, where), text).groupBy("name", "value")
                          .agg(F.count("*").alias("_rows")), "labels")
-    sizes = _per_column(listed, cols, "_rows")
+    sizes = _per_column(listed, cols)
     for c in cols:
-        n, rows = sizes[c]
+        n, rows, size = sizes[c]
         labels = listed.filter(F.col("name") == c).select("value", "_rows")
         codes = ranked(labels, [F.asc("value")], "label-order", c + suffix, n)
         if n > keyed.BROADCAST_KEYS:
             codes = materialise(codes, "codes")
-        side = KeyedTable(codes, "value", n, "_rows", rows)
+        side = KeyedTable(codes, "value", n, "_rows", rows, size)
         df = side.attach(df.withColumn("_label", text[c]), on="_label").drop("_label")
         if unknown is not None:
             df = df.withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(unknown).cast("long")))
@@ -94,11 +95,11 @@ def count_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_count") ->
     """Occurrences of each label over all rows of ``df``; null stays null."""
     counts = materialise(_pairs(df, {c: F.col(c) for c in cols}).groupBy("name", "value")
                          .agg(F.count("*").alias("_rows")), "counts")
-    sizes = _per_column(counts, cols, "_rows")
+    sizes = _per_column(counts, cols)
     for c in cols:
         side = counts.filter(F.col("name") == c).select("value", "_rows", F.col("_rows").alias(c + suffix))
-        n, rows = sizes[c]
-        df = KeyedTable(side, "value", n, "_rows", rows).attach(df, on=c)
+        n, rows, size = sizes[c]
+        df = KeyedTable(side, "value", n, "_rows", rows, size).attach(df, on=c)
     return df
 
 
@@ -133,14 +134,16 @@ def target_encode_oof(df: DataFrame, cols: Sequence[str], target: str, k: int, f
         F.try_divide(F.col("s") - F.col("fs")[f], F.col("n") - F.col("fn")[f]) for f in folds]).alias("means")),
         "category-means")
     summary = {r["name"]: r for r in means.groupBy("name").agg(
-        F.count("*").alias("n"), F.sum("_rows").alias("rows"), F.array(*[F.avg(F.col("means")[f]) for f in folds]).alias("fallback")).collect()}
+        F.count("*").alias("n"), F.sum("_rows").alias("rows"), keyed.text_bytes("value").alias("bytes"),
+        F.array(*[F.avg(F.col("means")[f]) for f in folds]).alias("fallback")).collect()}
     for c in cols:
         if c not in summary:
             df = df.withColumn(c + suffix, F.lit(None).cast("double"))
             continue
         side = means.filter(F.col("name") == c).select("value", "_rows", F.col("means").alias("_means"))
         fallback = F.array(*[F.lit(v) for v in summary[c]["fallback"]])
-        df = KeyedTable(side, "value", summary[c]["n"], "_rows", summary[c]["rows"]).attach(df, on=c)
+        size = summary[c]
+        df = KeyedTable(side, "value", size["n"], "_rows", size["rows"], size["bytes"]).attach(df, on=c)
         version = lambda f: F.coalesce(F.get(F.col("_means"), f), F.get(fallback, f))
         average = sum((version(F.lit(f)) for f in folds), F.lit(0.0)) / k
         df = df.withColumn(c + suffix, F.when(F.col(is_train), version(F.col(fold))).otherwise(average)).drop("_means")

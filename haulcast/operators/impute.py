@@ -31,7 +31,7 @@ def impute_median(df: DataFrame, cols: Sequence[str], where: Column | None = Non
 def impute_mode(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> DataFrame:
     """Nulls to the most frequent label, ties to the smallest."""
     best = most_frequent(_rows(df, where), cols)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(best[c])) for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(best[c]).cast(df.schema[c].dataType)) for c in cols})
 
 
 def impute_constant(df: DataFrame, cols: Sequence[str], value: str | float = "Missing") -> DataFrame:

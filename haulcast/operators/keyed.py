@@ -15,26 +15,36 @@ from pyspark.sql import functions as F
 from haulcast.session import materialise
 
 BROADCAST_KEYS = 500_000
+BROADCAST_KEY_BYTES = 64 << 20
 HOT_KEYS = 1_000
 SALTS = 1_024
 
 
 @dataclass
 class KeyedTable:
-    """One row per key, written once; ``row_share`` is the column with the rows behind a key."""
+    """One row per key, written once.
+
+    ``row_share`` is the column with the rows behind a key. Values are numbers or
+    short arrays of them, so the count of keys and the bytes of their text bound
+    the size of the table.
+    """
 
     table: DataFrame
     key: str
     keys: int
     row_share: str | None = None
     rows: int | None = None
+    key_bytes: int = 0
 
     @classmethod
     def of(cls, table: DataFrame, key: str, row_share: str | None = None) -> "KeyedTable":
-        """Count the keys, and the rows behind them, of a written table."""
+        """Measure a written table: its keys, their bytes, and the rows behind them."""
         rows = F.sum(row_share) if row_share else F.lit(None).cast("long")
-        size = table.agg(F.count("*").alias("keys"), rows.alias("rows")).first()
-        return cls(table, key, size["keys"], row_share, size["rows"])
+        size = table.agg(F.count("*").alias("keys"), text_bytes(key).alias("bytes"), rows.alias("rows")).first()
+        return cls(table, key, size["keys"], row_share, size["rows"], size["bytes"] or 0)
+
+    def is_small(self) -> bool:
+        return self.keys <= BROADCAST_KEYS and self.key_bytes <= BROADCAST_KEY_BYTES
 
     def attach(self, df: DataFrame, on: str | None = None) -> DataFrame:
         """Left join onto rows by ``on``; unmatched rows get nulls, columns of the same name are replaced.
@@ -47,7 +57,7 @@ class KeyedTable:
         on = on or self.key
         values = [c for c in self.table.columns if c not in (self.key, self.row_share)]
         df = df.drop(*[c for c in values if c != on])
-        if self.keys <= BROADCAST_KEYS:
+        if self.is_small():
             side = self.table.select(F.col(self.key).alias("_k"), *values)
             return df.join(F.broadcast(side), F.col(on) == F.col("_k"), "left").drop("_k")
         if self.row_share is None:
@@ -80,6 +90,11 @@ class KeyedTable:
         return KeyedTable.of(materialise(table, "shares"), self.key, "_rows")
 
 
+def text_bytes(col: str) -> Column:
+    """Aggregate: bytes of a column in text form."""
+    return F.sum(F.octet_length(F.col(col).cast("string")))
+
+
 def keyed(df: DataFrame, key: str, aggs: Mapping[str, Column], name: str = "keyed",
           keep_rows: str | None = None) -> KeyedTable:
     """Aggregate per key, pre-aggregated before the shuffle; null keys are left out.

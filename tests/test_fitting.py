@@ -281,3 +281,18 @@ def test_quantiles_of_many_partitions(spark, sort):
     x = np.array([r["x"] for r in df.collect()])
     probs = [0.001, 0.3, 0.5, 0.77, 0.999]
     assert np.allclose(quantiles(df, ["x"], probs, max_bucket_rows=25)[None, "x"], np.quantile(x, probs))
+
+
+def test_long_keys_are_not_broadcast(spark, monkeypatch):
+    stats = keyed.keyed(skewed(spark), "key", {"mean": F.avg("x")})
+    assert stats.keys == 98 and stats.rows == 3000 and stats.is_small()
+    monkeypatch.setattr(keyed, "BROADCAST_KEY_BYTES", stats.key_bytes - 1)
+    assert not stats.is_small()
+
+
+def test_mode_keeps_the_column_type(rows):
+    from haulcast.operators import impute
+
+    df = rows([(1, 4), (2, 4), (3, None)], "id int, c int")
+    out = impute.impute_mode(df, ["c"])
+    assert dict(out.dtypes)["c"] == "int" and [r["c"] for r in out.orderBy("id").collect()] == [4, 4, 4]

@@ -28,6 +28,7 @@ MAX_BUCKET_ROWS = 1_000_000
 ACCURACY = 10_000
 EVEN_CUTS = 257
 SKETCHES = 64
+FEW_PROBS = 16
 
 
 def quantile(df: DataFrame, col: str, p: float) -> float | None:
@@ -77,11 +78,11 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: st
 
 def _quantiles(data: DataFrame, cols: list[str], probs: list[float], by, leave_out: bool, max_bucket_rows: int) -> dict:
     grid = _Grid(probs)
-    counted, splits = _overview(data, len(cols), grid)
-    if len(probs) <= 16 and max((sum(n for (i, _, _), (n, _, _) in counted.items() if i == c)
-                                 for c in range(len(cols))), default=0) <= max_bucket_rows:
-        splits = [[] for _ in cols]
-    else:
+    counted = _sizes(data, len(cols))
+    rows = [sum(n for (i, _, _), (n, _, _) in counted.items() if i == c) for c in range(len(cols))]
+    splits: list[list[float]] = [[] for _ in cols]
+    if len(probs) > FEW_PROBS or max(rows, default=0) > max_bucket_rows:
+        splits = _first_splitters(data, len(cols), grid)
         counted = _bucket_counts(data, splits)
     while True:
         targets = sorted({g for _, g, _ in counted}) if by else [None]
@@ -149,24 +150,29 @@ def _in_parts(data: DataFrame) -> DataFrame:
     return data.withColumn("part", F.spark_partition_id() % SKETCHES)
 
 
-def _overview(data: DataFrame, width: int, grid: _Grid) -> tuple[dict, list[list[float]]]:
-    """Size and range of every column per group, and first splitters, in one aggregation."""
+def _sizes(data: DataFrame, width: int) -> dict:
+    """Count and range of every column per group, all in one bucket; fills the cache."""
+    x = [F.col(f"x{i}") for i in range(width)]
+    rows = data.groupBy("g").agg(*[
+        F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"s{i}")
+        for i, v in enumerate(x)]).collect()
+    return {(i, row["g"], 0): tuple(row[f"s{i}"]) for row in rows for i in range(width) if row[f"s{i}"]["n"]}
+
+
+def _first_splitters(data: DataFrame, width: int, grid: _Grid) -> list[list[float]]:
+    """Splitters of every column from sketches per group, in one aggregation."""
     x = [F.col(f"x{i}") for i in range(width)]
     rows = _in_parts(data).groupBy("g", "part").agg(*[
-        F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-                 grid.sketch(v).alias("q")).alias(f"s{i}") for i, v in enumerate(x)]).collect()
-    counted, sketches = {}, defaultdict(list)
+        F.struct(F.count(v).alias("n"), grid.sketch(v).alias("q")).alias(f"s{i}") for i, v in enumerate(x)]).collect()
+    sketches = defaultdict(list)
     for row in rows:
         for i in range(width):
-            s, key = row[f"s{i}"], (i, row["g"], 0)
-            if s["n"]:
-                n, lo, hi = counted.get(key, (0, s["lo"], s["hi"]))
-                counted[key] = (n + s["n"], min(lo, s["lo"]), max(hi, s["hi"]))
-                sketches[i, row["g"]].append((s["n"], s["q"]))
+            if row[f"s{i}"]["n"]:
+                sketches[i, row["g"]].append(tuple(row[f"s{i}"]))
     splits = [set() for _ in x]
     for (i, _), found in sketches.items():
         splits[i] |= grid.cuts(found)
-    return counted, [sorted(c) for c in splits]
+    return [sorted(c) for c in splits]
 
 
 def _counts_for(group, target, leave_out: bool) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulcast.llm import exact_dedup, url_filter
+from haulcast.llm import exact_dedup, packing, url_filter, warc
 from haulcast.llm.registry import QUERIES, SQL, query, table
 from haulcast.llm.text import LOWER, UPPER
 
@@ -21,3 +21,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_url_filter", url_filter.judge_urls_sql())
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op2_harmonic_packing")
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op7_warc_archives", f"""
+WITH sums AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest
+  FROM pages),
+largest AS (
+  SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY payload_digest)
+                 ELSE page_id END AS response
+  FROM sums)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM largest""")
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))

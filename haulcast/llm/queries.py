@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulcast.llm import exact_dedup, packing, url_filter, warc
+from haulcast.llm import exact_dedup, mixing, packing, url_filter, warc
 from haulcast.llm.registry import QUERIES, SQL, query, table
 from haulcast.llm.text import LOWER, UPPER
 
@@ -41,3 +41,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN
 FROM largest""")
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op4_source_mixing")
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))

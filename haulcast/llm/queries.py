@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulcast.llm import exact_dedup, mixing, packing, url_filter, warc
+from haulcast.llm import exact_dedup, mixing, packing, quality, toxicity, url_filter, warc
 from haulcast.llm.registry import QUERIES, SQL, query, table
 from haulcast.llm.text import LOWER, UPPER
 
@@ -46,3 +46,15 @@ def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_source_mixing")
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+@query("op1_compression_quality")
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_convolutional_toxicity")
+def op3_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))

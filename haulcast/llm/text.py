@@ -20,8 +20,9 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> DataFrame:
-    """At most ``per_class`` labelled texts of each class, as (doc_id, text, label), for fitting a model.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int,
+                    *extra: str) -> DataFrame:
+    """At most ``per_class`` labelled texts of each class, as (doc_id, text, label, extra columns), for fitting.
 
     Only rows outside the held-out fold are taken, in the order of a hash of
     their id, so the sample is the same on every run. Documents with a null or
@@ -34,10 +35,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
         .filter("label = other")
     )
-    near = docs.select("doc_id", "text", F.length("text").alias("chars")).filter(F.col("chars").between(1, max_chars))
+    near = docs.select("doc_id", "text", *extra, F.length("text").alias("chars")).filter(F.col("chars").between(1, max_chars))
     ids = None
     for value in (0, 1):
         one = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = one if ids is None else ids.unionAll(one)
     ids = ids.select(F.col("doc_id").alias("_id"), "label")
-    return near.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    return near.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label", *extra)

@@ -17,6 +17,7 @@ table gives no pieces. Columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -24,10 +25,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from haulcast.session import materialise
 
@@ -41,41 +43,71 @@ WASTE = 1 / 32
 #: Unfinished pieces that one task takes on in a later round.
 ROUND_ROWS = 50_000
 
-_CACHED_WORD, _CACHED_WORDS = 64, 200_000
+_CACHED = 400_000
+# Fixed value: the pattern of the tokenizer file.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_NOT_LATIN = re.compile("[^\x01-\u012f]")
 # Python's split takes these for white space, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, klass int, "
           "sequence_id long, offset long")
 
 
-class WordIds(dict):
+class _Remembered(dict):
+    """A memo of ``make`` that forgets everything at its limit."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest = make, limit, longest
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds:
     """Token ids of a text as little-endian 32-bit integers.
 
     The tokenizer never joins characters across white space, so a text's ids are
-    those of its words in turn; ids of short words are remembered up to a limit.
+    those of its words in turn. A word of Latin letters is lower-cased and split by
+    the tokenizer's own pattern, and each part goes straight to its merge table; in
+    that range normalisation changes nothing else. Any other word takes the whole
+    tokenizer. Both steps remember what they have seen, up to a limit.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= _CACHED_WORD:
-            if len(self) >= _CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.model = self.tokenizer.model
+        table = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {k: table.pre_tokenize_str(chr(k))[0][0] for k in range(1, 0x130)}
+        self.parts = _Remembered(self._part, _CACHED)
+        self.words = _Remembered(self._word, _CACHED)
 
     def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _part(self, part: str) -> bytes:
+        return _pack([t.id for t in self.model.tokenize(part.translate(self.bytes))])
+
+    def _word(self, word: str) -> bytes:
+        if _NOT_LATIN.search(word) or "<|" in word:
+            return self.encode(word)
+        return b"".join([self.parts[p] for p in _PARTS.findall(word.lower())])
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _ODD_SPACE.search(text):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)

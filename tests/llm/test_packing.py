@@ -75,3 +75,13 @@ def test_cut_lengths():
         for p in pieces:
             j = 2048 // p
             assert j >= packing.SMALL or j * p >= 2048 * (1 - packing.WASTE)
+
+
+def test_fast_path_equals_the_tokenizer():
+    ids = packing.word_ids(packing.TOKENIZER)
+    words = [w for c in map(chr, range(1, 0x400)) for w in (c, f"a{c}b", f"A{c}{c}'{c}s1", f"'{c}")]
+    words += ["it's", "''s", "they'll've", "<|startoftext|>", "a<|endoftext|>b", "I\u0307", "x" * 300, "1/2\u00bd"]
+    for word in words:
+        assert ids.of(word) == ids.encode(word), ascii(word)
+        text = f"one {word} Two"
+        assert ids.of(text) == ids.encode(text), ascii(word)

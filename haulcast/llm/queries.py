@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulcast.llm import exact_dedup, mixing, packing, quality, toxicity, url_filter, warc
+from haulcast.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
 from haulcast.llm.registry import QUERIES, SQL, query, table
-from haulcast.llm.text import LOWER, UPPER
+from haulcast.llm.text import LOWER, UPPER, WORD
 
 
 @query("op5_exact_dedup", f"""
@@ -58,3 +58,24 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_minhash_near_dedup", f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+  FROM split),
+sizes AS (SELECT doc_id, count(shingle) AS n FROM split LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
+  WHERE 100 * both >= {near_dedup.PERCENT} * (sa.n + sb.n - both)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""")
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(table(spark, sf_dir, "documents"))

@@ -69,11 +69,11 @@ shingles AS (
   FROM split),
 sizes AS (SELECT doc_id, count(shingle) AS n FROM split LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
 common AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
   FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM common JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
-  WHERE 100 * both >= {near_dedup.PERCENT} * (sa.n + sb.n - both)),
+  WHERE 100 * shared >= {near_dedup.PERCENT} * (sa.n + sb.n - shared)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""")

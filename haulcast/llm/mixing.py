@@ -38,6 +38,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 16
+#: Slots that one task lists.
+TASK_SLOTS = 500_000
 SEED = 20_240_601
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -192,7 +194,8 @@ def _slots(spark: SparkSession, sources: Sources, shard_slots: int, seed: int) -
                 yield pd.DataFrame({"shard": shard, "_s": source.astype(np.int32), "_block": block, "_nth": nth})
 
     before = F.sum("_count").over(Window.partitionBy("_s").orderBy("shard")) - F.col("_count")
-    filled = (counts.withColumn("_before", before).filter("_count > 0")
+    tasks = max(1, min(shards, -(-total // TASK_SLOTS)))
+    filled = (counts.withColumn("_before", before).filter("_count > 0").repartition(tasks)
               .mapInPandas(fill, "shard long, _s int, _block long, _nth long"))
     # the order inside a shard is that of a hash
     return filled.withColumn("slot", F.xxhash64(F.lit(seed), "_s", "_nth")).drop("_nth")
@@ -223,7 +226,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     rows = KeyedTable.of(materialise(sources.table(spark), "sources"), "_key").attach(sized)
     pieces = _pieces(_positions(rows), block_words)
     slots = _slots(spark, sources, shard_slots, seed)
-    taken = slots.join(pieces, ["_s", "_block"]).select("shard", "slot", "_row", "from_word", "words")
+    # both sides grow with the corpus, although the slots come from a short table
+    taken = slots.join(pieces.hint("merge"), ["_s", "_block"]).select("shard", "slot", "_row", "from_word", "words")
     return Mix(rows.select("_row", "doc_id", "size", "source_size", "target"), taken, sources)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulcast.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
+from haulcast.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter, vector_search, warc
 from haulcast.llm.registry import QUERIES, SQL, query, table
 from haulcast.llm.text import LOWER, UPPER, WORD
 
@@ -79,3 +79,16 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pivot_search", """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op6_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_products(table(spark, sf_dir, "embeddings"))

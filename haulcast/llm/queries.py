@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulcast.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter, vector_search, warc
+from haulcast.llm import exact_dedup, mixing, near_dedup, packing, quality, secret_scan, toxicity, url_filter, vector_search, warc
 from haulcast.llm.registry import QUERIES, SQL, query, table
 from haulcast.llm.text import LOWER, UPPER, WORD
 
@@ -92,3 +92,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
 def op6_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))

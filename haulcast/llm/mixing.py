@@ -21,6 +21,7 @@ carried along.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -253,9 +254,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     schema = joined.drop("_spans").schema
 
     def slice_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        word = regex.compile(WORD)
+        word = re.compile(WORD)
         for b in batches:
             at, texts = [], []
             for k, (text, spans) in enumerate(zip(b["text"], b["_spans"])):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,6 @@ from haulcast.operators import keyed
 from haulcast.operators.keyed import KeyedTable, ranked
 from haulcast.session import materialise
 
-ONE_HOT_LIMIT = 1_000
-
 
 def _pairs(df: DataFrame, labels: Mapping[str, Column], carry: Sequence[str] = ()) -> DataFrame:
     """Rows (name, value, carried columns), one per labelled column, null values dropped."""
@@ -38,30 +37,43 @@ def _per_column(table: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, i
     return {c: sizes.get(c, (0, 0, 0)) for c in cols}
 
 
-def category_lists(df: DataFrame, cols: Sequence[str], limit: int = ONE_HOT_LIMIT) -> dict[str, list[str]]:
-    """Sorted categories per column, for columns known to have few of them.
-
-    More than ``limit`` categories in one column is an error: such a column is to
-    be count- or target-encoded instead.
-    """
-    distinct = _pairs(df, {c: F.col(c) for c in cols}).distinct()
-    found = distinct.limit(limit * len(cols) + 1).collect()
+def category_lists(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted categories per column, on the driver."""
     lists: dict[str, list[str]] = {c: [] for c in cols}
-    for r in found:
+    for r in _pairs(df, {c: F.col(c) for c in cols}).distinct().collect():
         lists[r["name"]].append(r["value"])
-    for c, values in lists.items():
-        if len(values) > limit:
-            raise ValueError(f"{c} has more than {limit} categories: encode it by count or target")
     return {c: sorted(v) for c, v in lists.items()}
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], where: Column | None = None,
-            limit: int = ONE_HOT_LIMIT) -> tuple[DataFrame, list[str]]:
+def one_hot_vector(df: DataFrame, cols: Sequence[str], out: str = "one_hot", where: Column | None = None) -> DataFrame:
+    """One sparse 0/1 vector over the sorted categories of all ``cols``, for any number of them.
+
+    Positions are label codes, joined to the rows; only the number of labels of a
+    column reaches the driver. Null and unseen labels are all zeros.
+    """
+    codes, parts = [f"_{c}_at" for c in cols], [f"_{c}_hot" for c in cols]
+    coded = label_encode(df.withColumns({f"_{c}": F.col(c).cast("string") for c in cols}), [f"_{c}" for c in cols],
+                         where, null_label=None, suffix="_at")
+    most = coded.agg(*[F.max(a).alias(a) for a in codes]).first()
+    sizes = {a: -1 if most[a] is None else most[a] for a in codes}
+    # the code after the last label is the category that the encoder leaves out
+    coded = coded.withColumns({a: F.coalesce(a, F.lit(sizes[a] + 1)).cast("double") for a in codes})
+    attributes = [f"named_{a}" for a in codes]
+    for a, named in zip(codes, attributes):
+        count = {"ml_attr": {"type": "nominal", "num_vals": sizes[a] + 2, "name": a}}
+        coded = coded.withColumn(named, F.col(a).alias(named, metadata=count))
+    encoder = OneHotEncoder(inputCols=attributes, outputCols=parts, dropLast=True, handleInvalid="error").fit(coded)
+    joined = VectorAssembler(inputCols=parts, outputCol=out).transform(encoder.transform(coded))
+    return joined.select(*df.columns, out)
+
+
+def one_hot(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> tuple[DataFrame, list[str]]:
     """A 0/1 column ``{c}_is_{i}`` per i-th sorted category; null and unseen labels are all zeros.
 
-    Returns the frame and the names of the new columns.
+    Returns the frame and the names of the new columns. Every label becomes a column:
+    for designs of many labels take ``one_hot_vector``.
     """
-    lists = category_lists(_rows(df, where), cols, limit)
+    lists = category_lists(_rows(df, where), cols)
     new = {f"{c}_is_{i}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0))
            for c in cols for i, v in enumerate(lists[c])}
     return df.withColumns(new), list(new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.operators.blend import blend, inverse_rmse_weights
@@ -26,13 +26,17 @@ def oof_predictions(df: DataFrame, models: Mapping[int, object], fold: str = "fo
     return reduce(DataFrame.unionByName, parts)
 
 
-def score_predictions(df: DataFrame, models: Mapping[int, object], out: str = "prediction") -> DataFrame:
-    """Mean over the fold models, side by side on the same row, so without a shuffle."""
+def score_predictions(df: DataFrame, models: Mapping[int, object], out: str = "prediction",
+                      back: Callable[[Column], Column] = lambda p: p) -> DataFrame:
+    """Mean over the fold models, side by side on the same row, so without a shuffle.
+
+    ``back`` takes each fold's prediction to the original scale before the mean.
+    """
     names = []
     for f, m in models.items():
         names.append(f"_p{f}")
         df = m.predict(df, names[-1])
-    mean = reduce(lambda a, b: a + b, [F.col(n) for n in names]) / len(names)
+    mean = reduce(lambda a, b: a + b, [back(F.col(n)) for n in names]) / len(names)
     return df.withColumn(out, mean).drop(*names)
 
 

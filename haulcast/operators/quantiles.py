@@ -45,11 +45,6 @@ def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     return {c: found[None, c][0] for c in cols}
 
 
-def approx_quantiles(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = ACCURACY) -> Column:
-    """Array of approximate quantiles in one pass, for when exactness is not needed."""
-    return df.agg(F.percentile_approx(col, list(probs), accuracy).alias("q")).scalar()
-
-
 def lookup(values: dict, key: str, col: str, position: int = 0) -> Column:
     """Column that picks a fitted quantile of ``col`` by the row's ``key``."""
     return by_key(key, {g: v[position] for (g, c), v in values.items() if c == col})
@@ -60,13 +55,13 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: st
     """Exact quantiles as ``{(group, column): [value per prob]}``.
 
     ``by`` names a frame or fold column with few values. With ``leave_out`` the
-    entry of a fold describes the rows outside that fold. Nulls are ignored; an
+    entry of a fold describes the rows outside that fold. Nulls and NaN are ignored; an
     empty group gives ``None``. Only counts of buckets and the wanted values
     reach the driver.
     """
     cols, probs = list(cols), [float(p) for p in probs]
     data = df.select((F.col(by) if by else F.lit(None).cast("int")).alias("g"),
-                     *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+                     *[_number(c).alias(f"x{i}") for i, c in enumerate(cols)])
     if by:
         data = data.filter(F.col("g").isNotNull())
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -76,6 +71,12 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: st
         data.unpersist()
 
 
+def _number(col: str) -> Column:
+    """The column as double, NaN taken as null."""
+    x = F.col(col).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _quantiles(data: DataFrame, cols: list[str], probs: list[float], by, leave_out: bool, max_bucket_rows: int) -> dict:
     grid = _Grid(probs)
     counted = _sizes(data, len(cols))
@@ -107,7 +108,8 @@ def _quantiles(data: DataFrame, cols: list[str], probs: list[float], by, leave_o
                 continue
             h = p * (n - 1)
             low, high = known[i, t, math.floor(h)], known[i, t, math.ceil(h)]
-            values.append(low + (high - low) * (h - math.floor(h)))
+            # at an infinite value the difference would be NaN
+            values.append(low if low == high or h == math.floor(h) else low + (high - low) * (h - math.floor(h)))
         out[t, cols[i]] = values
     return out
 
@@ -185,7 +187,7 @@ def _long(data: DataFrame, splits: list[list[float]]) -> DataFrame:
     if split_cols:
         data = Bucketizer(
             inputCols=[f"x{i}" for i in split_cols], outputCols=[f"b{i}" for i in split_cols],
-            splitsArray=[[-math.inf, *splits[i], math.inf] for i in split_cols],
+            splitsArray=[[-math.inf, *[v for v in splits[i] if math.isfinite(v)], math.inf] for i in split_cols],
             handleInvalid="keep").transform(data)
     cells = [F.struct(F.lit(i).alias("i"),
                       (F.col(f"b{i}").cast("int") if splits[i] else F.lit(0)).alias("b"),
@@ -194,7 +196,7 @@ def _long(data: DataFrame, splits: list[list[float]]) -> DataFrame:
         rows = data.select("g", cells[0].alias("cell")).select("g", "cell.i", "cell.b", "cell.x")
     else:
         rows = data.select("g", F.inline(F.array(*cells)))
-    return rows.filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    return rows.filter(F.col("x").isNotNull())
 
 
 def _bucket_counts(data: DataFrame, splits) -> dict:

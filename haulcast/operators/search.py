@@ -100,7 +100,7 @@ def search_trees(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     distributed job, and ``parallelism`` of them are submitted at a time.
     ``original`` names the untransformed target for metrics on its own scale.
     """
-    known = df.dropna(subset=[target, *numeric])
+    known = df.dropna(subset=[target])
     assembler, bins = tree_features(known, numeric, categorical)
     truth = original or target
     ready = assembler.transform(known).select("features", *dict.fromkeys([target, truth, fold])).persist()
@@ -120,9 +120,9 @@ def search_trees(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
         ready.unpersist()
     found: dict[int, list[float]] = {}
     for (i, _), score in zip(jobs, scores):
-        if score is not None:
-            found.setdefault(i, []).append(score)
-    rows = [(i, describe(p), float(np.mean(found[i])) if i in found else None) for i, p in enumerate(trials)]
+        found.setdefault(i, []).append(score)
+    # a trial is ranked by all folds or by none
+    rows = [(i, describe(p), None if None in found[i] else float(np.mean(found[i]))) for i, p in enumerate(trials)]
     return df.sparkSession.createDataFrame(rows, TRIAL)
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulcast.operators.encode import label_encode
+
 
 @dataclass(frozen=True)
 class TreeConfig:
@@ -34,32 +37,35 @@ LEAFWISE = TreeConfig(trees=5000, depth=6, rate=0.01, subsample=0.8, features="0
 LEAFWISE_SHALLOW = TreeConfig(trees=2000, depth=5, rate=0.03, subsample=0.8, features="0.6")
 LEAFWISE_ABSOLUTE = replace(LEAFWISE, loss="absolute")
 CATEGORICAL = TreeConfig(trees=5000, depth=6, rate=0.01)
-CATEGORICAL_ABSOLUTE = replace(CATEGORICAL, loss="absolute")
 
 
 def with_rounds(config: TreeConfig, trees: int) -> TreeConfig:
     return replace(config, trees=trees)
 
 
-def tree_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                  max_categories: int = 1_000) -> tuple[PipelineModel, int]:
+def tree_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[PipelineModel, int]:
     """Fitted assembler that keeps categories as categories, and the bins they need.
 
-    Labels are indexed in sorted order with one slot for unseen and null labels.
-    A column with more than ``max_categories`` labels is refused: encode it by
-    count or target first.
+    A null number becomes one below the smallest known one, so a cut can set missing
+    rows apart. Labels are indexed in sorted order with one slot for unseen and null
+    labels; a tree keeps a bin for each of them. Entity names belong to the count and
+    target encodings, by their role and at any number.
     """
     stages, bins = [], 2
-    index = [f"{c}_idx" for c in categorical]
+    index, filled = [f"{c}_idx" for c in categorical], [f"{c}_filled" for c in numeric]
+    low = lambda c: F.min(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")))
+    facts = df.agg(F.lit(1), *[low(c).alias(f"{c}_filled") for c in numeric],
+                   *[F.count_distinct(c).alias(f"{c}_idx") for c in categorical]).first()
+    if numeric:
+        known = lambda c: f"CASE WHEN NOT isnan(CAST(`{c}` AS DOUBLE)) THEN CAST(`{c}` AS DOUBLE) END"
+        fills = {c: math.floor(facts[f"{c}_filled"] or 0.0) - 1.0 for c in numeric}
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
+            f"coalesce({known(c)}, CAST('{v!r}' AS DOUBLE)) AS `{c}_filled`" for c, v in fills.items()) + " FROM __THIS__"))
     if categorical:
-        sizes = df.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()
-        for c in categorical:
-            if sizes[c] > max_categories:
-                raise ValueError(f"{c} has {sizes[c]} categories: encode it by count or target")
-        bins = max(sizes[c] for c in categorical) + 1
+        bins = max(facts[i] for i in index) + 1
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-    stages.append(VectorAssembler(inputCols=[*numeric, *index], outputCol="features"))
+    stages.append(VectorAssembler(inputCols=[*filled, *index], outputCol="features"))
     return Pipeline(stages=stages).fit(df), bins
 
 
@@ -94,9 +100,9 @@ def native_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     Null gets the slot after the last label.
     """
-    index = [f"{c}_idx" for c in cols]
-    return StringIndexer(inputCols=list(cols), outputCols=index, handleInvalid="keep",
-                         stringOrderType="alphabetAsc").fit(df).transform(df)
+    sizes = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
+    out = label_encode(df, cols, null_label=None, suffix="_idx")
+    return out.withColumns({f"{c}_idx": F.coalesce(f"{c}_idx", F.lit(sizes[c])) for c in cols})
 
 
 def fit_gbt(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, config: TreeConfig,
@@ -106,13 +112,13 @@ def fit_gbt(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], t
     ``patience`` ends the look for a better round after that many rounds without
     one. The assembled rows are cached, as every round reads them again.
     """
-    known = df.dropna(subset=[target, *numeric])
+    known = df.dropna(subset=[target])
     assembler, bins = tree_features(known, numeric, categorical)
     ready = assembler.transform(known).select("features", target).persist()
     try:
         held = None
         if valid is not None:
-            held = assembler.transform(valid.dropna(subset=[target, *numeric])).select("features", target)
+            held = assembler.transform(valid.dropna(subset=[target])).select("features", target)
         model, rounds, errors = fit_assembled(ready, target, config, bins, held, patience)
         return TreeModel(assembler, model, rounds, errors)
     finally:
@@ -156,7 +162,7 @@ def _fit_cached(learner, assembler: PipelineModel, rows: DataFrame, target: str)
 def fit_tree(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
              depth: int = 5, bins: int = 64, min_rows: int = 1) -> TreeModel:
     """A single regression tree."""
-    known = df.dropna(subset=[target, *numeric])
+    known = df.dropna(subset=[target])
     assembler, needed = tree_features(known, numeric, categorical)
     learner = DecisionTreeRegressor(featuresCol="features", labelCol=target, predictionCol="tree_prediction",
                                     maxDepth=depth, maxBins=max(bins, needed), minInstancesPerNode=min_rows)
@@ -166,7 +172,7 @@ def fit_tree(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
 def fit_forest(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
                trees: int = 20, depth: int = 5, bins: int = 64, seed: int = 42) -> TreeModel:
     """A random forest."""
-    known = df.dropna(subset=[target, *numeric])
+    known = df.dropna(subset=[target])
     assembler, needed = tree_features(known, numeric, categorical)
     learner = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="tree_prediction",
                                     numTrees=trees, maxDepth=depth, maxBins=max(bins, needed), seed=seed)

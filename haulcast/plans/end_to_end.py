@@ -102,7 +102,7 @@ def cost_by_tree_blend(spark, d):
     for name, config in configs.items():
         models = ensemble.fit_folds(
             train, 2, lambda t, v, c=config: trees.fit_gbt(t, numeric, labels, "y", c, v, 200), "half")
-        score = ensemble.score_predictions(score, models, name).withColumn(name, F.expm1(name))
+        score = ensemble.score_predictions(score, models, name, F.expm1)
     out = materialise(blend.blend_equal(score.drop(Y), ["a", "b"], Y).select("row_id", E, Y), "blended")
     report = quality.contract_report(out.select(E, Y), df.filter("not is_train"), E, [E, Y]).first()
     if not (report["columns_match"] and report["row_count_match"] and report["id_set_match"]):

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulcast.sources.tables import read_table
+
 
 def _yes_no(condition: Column) -> Column:
     return F.when(condition, F.lit("Yes")).otherwise(F.lit("No"))
@@ -64,7 +66,7 @@ def shipments(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
     definitions = _definitions()
     names = list(definitions) if columns is None else list(dict.fromkeys(columns))
     needed = set().union(*(definitions[n][0] for n in names))
-    read = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    read = lambda table: read_table(spark, f"{sf_dir}/{table}.parquet")
     df = read("lineitem")
     if needed & {"orders", "customer", "nation"}:
         # customers and nations join the orders first: fewer rows than lines, shuffled once

@@ -178,9 +178,31 @@ def test_one_hot_unseen_and_null_are_zero(rows):
     assert [tuple(r[n] for n in names) for r in out.orderBy("id").collect()] == [(0, 1), (1, 0), (0, 0), (0, 0)]
 
 
-def test_one_hot_refuses_many_categories(spark):
-    with pytest.raises(ValueError):
-        encode.one_hot(spark.range(20).select(F.col("id").cast("string").alias("c")), ["c"], limit=5)
+@pytest.mark.parametrize("n", [5, 1_001, 100_001])
+def test_one_hot_vector_of_any_width(spark, n):
+    df = spark.range(n + 3).select("id", F.when(F.col("id") < n, F.col("id").cast("string"))
+                                   .when(F.col("id") == n, "unseen").alias("c"),
+                                   F.element_at(F.array(F.lit("p"), F.lit("q")), (F.col("id") % 2 + 1).cast("int")).alias("d"))
+    out = encode.one_hot_vector(df, ["c", "d"], where=F.col("id") < n)
+    assert out.columns == ["id", "c", "d", "one_hot"]
+    order = sorted(str(k) for k in range(n))
+    for r in out.filter(F.col("id").isin(0, 1, 4, n, n + 1)).collect():
+        want = {n + r.id % 2} | ({order.index(r.c)} if r.c in order else set())
+        assert r.one_hot.size == n + 2 and set(r.one_hot.indices.tolist()) == want
+
+
+def test_one_hot_takes_many_categories(spark):
+    out, names = encode.one_hot(spark.range(1_001).select(F.col("id").cast("string").alias("c")), ["c"])
+    assert len(names) == 1_001 and len(out.columns) == 1_002
+
+
+@pytest.mark.parametrize("limit", [1, 1_000])
+def test_quantiles_with_nan_and_infinity(spark, limit):
+    inf = float("inf")
+    data = [(v,) for v in (1.0, 2.0, 3.0, float("nan"), None)] + [(inf,)]
+    df = spark.createDataFrame(data, "x double")
+    got = quantiles(df, ["x"], [0.0, 1 / 3, 0.5, 1.0], max_bucket_rows=limit)[None, "x"]
+    assert got == [1.0, 2.0, 2.5, inf]
 
 
 def test_label_codes(rows):

@@ -157,9 +157,25 @@ def test_knn_equals_brute_force(spark, cells, block):
 
 def test_knn_with_fewer_rows_than_neighbours(rows):
     train = rows([(1, [0.0], 2.0), (2, [1.0], 4.0), (3, [5.0], None)], "id int, v array<double>, y double")
-    query = rows([(9, [0.1]), (10, None)], "id int, v array<double>")
-    assert [tuple(r) for r in knn_predict(train, query, "v", "y", "id", 5).collect()] == [(9, 3.0)]
+    query = rows([(9, [0.1]), (10, None), (11, [None])], "id int, v array<double>")
+    assert sorted(map(tuple, knn_predict(train, query, "v", "y", "id", 5).collect())) == [(9, 3.0), (10, None), (11, None)]
     assert nearest_rows(train, query, "v", "y", "id", 1).first()["tkey"] == 1
+    nothing = knn_predict(train.filter("id = 3"), query, "v", "y", "id", 5)
+    assert {r.prediction for r in nothing.collect()} == {None} and nothing.count() == 3
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e8])
+def test_knn_far_from_the_origin_with_incomplete_rows(spark, shift):
+    rng = np.random.default_rng(8)
+    # steps of 1/8 stay exact after the shift
+    pdf = pd.DataFrame({"id": range(400), "v": list(rng.integers(0, 80, (400, 3)) / 8 + shift), "y": rng.normal(size=400)})
+    expected = brute(pdf[pdf.id % 4 != 0], pdf[pdf.id % 4 == 0], 5)
+    table = [(int(i), v.tolist(), float(y)) for i, v, y in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(table, "id int, v array<double>, y double")
+    broken = spark.createDataFrame([(1001, [None, shift, shift], 9e9), (1002, [shift, float("nan"), shift], 9e9)], df.schema)
+    found = knn_predict(df.filter("id % 4 <> 0").union(broken), df.filter("id % 4 = 0"), "v", "y", "id", 5, 20, 50).toPandas()
+    found = found.set_index("id").prediction
+    assert set(found.index) == set(expected) and all(found[i] == pytest.approx(e) for i, e in expected.items())
 
 
 def planted(spark, n=2000):
@@ -200,10 +216,29 @@ def test_tree_and_forest(spark):
         assert error < 5
 
 
-def test_trees_refuse_wide_categories(spark):
-    df = planted(spark).withColumn("wide", F.col("id").cast("string"))
-    with pytest.raises(ValueError):
-        trees.tree_features(df, ["a"], ["wide"])
+def test_trees_take_wide_categories(spark):
+    df = planted(spark).withColumn("wide", (F.col("id") % 1_001).cast("string"))
+    model = trees.fit_tree(df, ["a"], ["wide"], "y", 2)
+    assert model.predict(df).filter("prediction is not null").count() == 2_000
+
+
+def test_trees_keep_rows_with_missing_numbers(spark):
+    df = planted(spark).withColumn("a", F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 10 == 1, float("nan"))
+                                   .otherwise(F.col("a")))
+    df = df.withColumn("y", F.when(F.col("id") % 10 < 2, 77.0).otherwise(F.col("y")))
+    model = trees.fit_tree(df, ["a"], ["c"], "y", depth=4)
+    rows = model.predict(df).collect()
+    assert len(rows) == 2_000
+    assert all(abs(r.prediction - 77) < 1e-6 for r in rows if r.id % 10 < 2)
+
+
+def test_fold_predictions_leave_the_log_scale_before_the_mean(spark):
+    df = planted(spark)
+    models = ensemble.fit_folds(df, 2, lambda t, v: trees.fit_tree(t, ["a"], ["c"], "y", 2))
+    some = df.filter("id < 5")
+    both = [np.expm1(m.predict(some).orderBy("id").toPandas().prediction) for m in models.values()]
+    mean = ensemble.score_predictions(some, models, back=F.expm1).orderBy("id").toPandas().prediction
+    assert np.allclose(mean, sum(both) / 2)
 
 
 def test_out_of_fold_and_score_average(spark):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from haulcast.operators.linear import LinearModel, Penalty, collect_sums, fold_errors
 from haulcast.operators.metrics import METRICS
-from haulcast.operators.trees import TreeConfig, fit_assembled, tree_features
+from haulcast.operators.trees import TreeConfig, assembled, fit_assembled, tree_features
 
 TRIAL = "trial int, parameters string, score double"
 
@@ -101,9 +101,9 @@ def search_trees(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     ``original`` names the untransformed target for metrics on its own scale.
     """
     known = df.dropna(subset=[target])
-    assembler, bins = tree_features(known, numeric, categorical)
+    assembler, bins, rows = tree_features(known, numeric, categorical)
     truth = original or target
-    ready = assembler.transform(known).select("features", *dict.fromkeys([target, truth, fold])).persist()
+    ready = assembled(assembler, known, rows, *dict.fromkeys([target, truth, fold]))
 
     def held_out(job: tuple[int, int]) -> float | None:
         trial, f = job

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from haulcast.operators.encode import label_encode
 
 
+PART_ROWS = 50_000
+
+
 @dataclass(frozen=True)
 class TreeConfig:
     trees: int = 200
@@ -43,8 +47,8 @@ def with_rounds(config: TreeConfig, trees: int) -> TreeConfig:
     return replace(config, trees=trees)
 
 
-def tree_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[PipelineModel, int]:
-    """Fitted assembler that keeps categories as categories, and the bins they need.
+def tree_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[PipelineModel, int, int]:
+    """Fitted assembler that keeps categories as categories, the bins they need, and the number of rows.
 
     A null number becomes one below the smallest known one, so a cut can set missing
     rows apart. Labels are indexed in sorted order with one slot for unseen and null
@@ -54,7 +58,7 @@ def tree_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     stages, bins = [], 2
     index, filled = [f"{c}_idx" for c in categorical], [f"{c}_filled" for c in numeric]
     low = lambda c: F.min(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")))
-    facts = df.agg(F.lit(1), *[low(c).alias(f"{c}_filled") for c in numeric],
+    facts = df.agg(F.count("*").alias("_rows"), *[low(c).alias(f"{c}_filled") for c in numeric],
                    *[F.count_distinct(c).alias(f"{c}_idx") for c in categorical]).first()
     if numeric:
         known = lambda c: f"CASE WHEN NOT isnan(CAST(`{c}` AS DOUBLE)) THEN CAST(`{c}` AS DOUBLE) END"
@@ -66,7 +70,12 @@ def tree_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
     stages.append(VectorAssembler(inputCols=[*filled, *index], outputCol="features"))
-    return Pipeline(stages=stages).fit(df), bins
+    return Pipeline(stages=stages).fit(df), bins, facts["_rows"]
+
+
+def assembled(assembler: PipelineModel, df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """Assembled rows in the cache, as every level of every tree reads them again; in no more parts than they fill."""
+    return assembler.transform(df).select("features", *columns).coalesce(max(1, -(-rows // PART_ROWS))).persist()
 
 
 @dataclass
@@ -109,34 +118,58 @@ def fit_gbt(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], t
             valid: DataFrame | None = None, patience: int | None = None) -> TreeModel:
     """Boosted trees; with ``valid``, cut back to the round with the lowest validation error.
 
-    ``patience`` ends the look for a better round after that many rounds without
-    one. The assembled rows are cached, as every round reads them again.
+    ``patience`` ends boosting after that many rounds without a better one. The
+    assembled rows of both sides are cached, as every round reads them again.
     """
     known = df.dropna(subset=[target])
-    assembler, bins = tree_features(known, numeric, categorical)
-    ready = assembler.transform(known).select("features", target).persist()
+    assembler, bins, rows = tree_features(known, numeric, categorical)
+    ready = assembled(assembler, known, rows, target)
+    held = None if valid is None else assembled(assembler, valid.dropna(subset=[target]), rows, target)
     try:
-        held = None
-        if valid is not None:
-            held = assembler.transform(valid.dropna(subset=[target])).select("features", target)
         model, rounds, errors = fit_assembled(ready, target, config, bins, held, patience)
         return TreeModel(assembler, model, rounds, errors)
     finally:
         ready.unpersist()
+        if held is not None:
+            held.unpersist()
 
 
 def fit_assembled(ready: DataFrame, target: str, config: TreeConfig, bins: int, held: DataFrame | None = None,
                   patience: int | None = None) -> tuple[GBTRegressionModel, int, list[float] | None]:
-    """Boost on rows with assembled ``features``: model, rounds kept, validation error per round."""
+    """Boost on rows with assembled ``features``: model, rounds kept, validation error per round.
+
+    With ``patience`` boosting goes on, twice as far each time, until that many
+    rounds brought nothing better or the configured number is reached; the trees up
+    to the best round are kept as they are.
+    """
     learner = _learner(config, target, bins)
-    model = learner.fit(ready)
     if held is None:
-        return model, config.trees, None
-    errors = list(model.evaluateEachIteration(held, config.loss))
-    best = best_round(errors, patience)
-    if best < config.trees:
-        model = learner.copy({learner.maxIter: best}).fit(ready)
-    return model, best, errors
+        return learner.fit(ready), config.trees, None
+    rounds = config.trees if patience is None else min(config.trees, patience + max(25, patience // 4))
+    while True:
+        model = learner.copy({learner.maxIter: rounds}).fit(ready)
+        errors = list(model.evaluateEachIteration(held, config.loss))
+        best = best_round(errors, patience)
+        if rounds == config.trees or rounds - best >= patience:
+            break
+        rounds = min(config.trees, 2 * rounds)
+    if patience is not None:
+        errors = errors[: best + patience]
+    return first_trees(model, best), best, errors
+
+
+def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
+    """The boosted model of the first ``count`` rounds, without fitting again."""
+    if count == model.getNumTrees:
+        return model
+    gateway = SparkContext._gateway
+    learners = gateway.jvm.org.apache.spark.ml.regression
+    trees, weights = gateway.new_array(learners.DecisionTreeRegressionModel, count), gateway.new_array(gateway.jvm.double, count)
+    whole = model._java_obj.trees()
+    for k, weight in enumerate(model.treeWeights[:count]):
+        trees[k], weights[k] = whole[k], float(weight)
+    short = learners.GBTRegressionModel(f"{model.uid}_first_{count}", trees, weights)
+    return GBTRegressionModel(short.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol()))
 
 
 def best_round(errors: Sequence[float], patience: int | None = None) -> int:
@@ -150,9 +183,9 @@ def best_round(errors: Sequence[float], patience: int | None = None) -> int:
     return best + 1
 
 
-def _fit_cached(learner, assembler: PipelineModel, rows: DataFrame, target: str):
-    """Fit on assembled rows kept in the cache, as every level of a tree reads them again."""
-    ready = assembler.transform(rows).select("features", target).persist()
+def _fit_cached(learner, assembler: PipelineModel, df: DataFrame, target: str, rows: int):
+    """Fit on assembled rows kept in the cache."""
+    ready = assembled(assembler, df, rows, target)
     try:
         return learner.fit(ready)
     finally:
@@ -163,17 +196,17 @@ def fit_tree(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
              depth: int = 5, bins: int = 64, min_rows: int = 1) -> TreeModel:
     """A single regression tree."""
     known = df.dropna(subset=[target])
-    assembler, needed = tree_features(known, numeric, categorical)
+    assembler, needed, rows = tree_features(known, numeric, categorical)
     learner = DecisionTreeRegressor(featuresCol="features", labelCol=target, predictionCol="tree_prediction",
                                     maxDepth=depth, maxBins=max(bins, needed), minInstancesPerNode=min_rows)
-    return TreeModel(assembler, _fit_cached(learner, assembler, known, target), 1)
+    return TreeModel(assembler, _fit_cached(learner, assembler, known, target, rows), 1)
 
 
 def fit_forest(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
                trees: int = 20, depth: int = 5, bins: int = 64, seed: int = 42) -> TreeModel:
     """A random forest."""
     known = df.dropna(subset=[target])
-    assembler, needed = tree_features(known, numeric, categorical)
+    assembler, needed, rows = tree_features(known, numeric, categorical)
     learner = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="tree_prediction",
                                     numTrees=trees, maxDepth=depth, maxBins=max(bins, needed), seed=seed)
-    return TreeModel(assembler, _fit_cached(learner, assembler, known, target), trees)
+    return TreeModel(assembler, _fit_cached(learner, assembler, known, target, rows), trees)

@@ -1,8 +1,8 @@
 """Tree models.
 
 Trees with one split, also boosted, can be told in SQL: the best cut maximises
-the between-group sum of squares. Larger trees are run for their rows, and
-tested on planted signals.
+the between-group sum of squares. The models themselves run their configurations
+uncut over the whole feature set, for their rows, and are tested on planted signals.
 """
 
 from __future__ import annotations
@@ -64,36 +64,36 @@ def _stumps(spark, d, config, numeric=("equipment_width",), labels=("hospital_lo
     return rounded(model.predict(df).select("row_id", "prediction"), "prediction")
 
 
-@query("fit_decision_tree", f"SELECT row_id, {r('p1')} AS prediction FROM fitted1",
+@query("fit_decision_stump", f"SELECT row_id, {r('p1')} AS prediction FROM fitted1",
        rows0=STUMP_ROWS, **_stump("rows0", 1))
-def fit_decision_tree(spark, d):
+def fit_decision_stump(spark, d):
     df = _stump_rows(spark, d)
     model = trees.fit_tree(df, ["equipment_width"], ["hospital_location"], Y, depth=1)
     return rounded(model.predict(df).select("row_id", "prediction"), "prediction")
 
 
-@query("fit_gbt", f"SELECT row_id, {r('p1 + 0.1 * p2')} AS prediction FROM fitted2",
+@query("fit_gbt_stumps", f"SELECT row_id, {r('p1 + 0.1 * p2')} AS prediction FROM fitted2",
        rows0=STUMP_ROWS, **_stump("rows0", 1), rows1="SELECT * REPLACE (y - p1 AS y) FROM fitted1",
        **_stump("rows1", 2))
-def fit_gbt(spark, d):
+def fit_gbt_stumps(spark, d):
     return _stumps(spark, d, trees.BOOSTED)
 
 
-@query("fit_gbt_abs", f"SELECT row_id, {r('p1 + 0.01 * p2')} AS prediction FROM fitted2",
+@query("fit_gbt_abs_stumps", f"SELECT row_id, {r('p1 + 0.01 * p2')} AS prediction FROM fitted2",
        rows0=STUMP_ROWS, **_stump("rows0", 1),
        rows1="SELECT * REPLACE (CASE WHEN y < p1 THEN -1.0::double ELSE 1.0::double END AS y) FROM fitted1",
        **_stump("rows1", 2))
-def fit_gbt_abs(spark, d):
+def fit_gbt_abs_stumps(spark, d):
     return _stumps(spark, d, trees.LEAFWISE_ABSOLUTE)
 
 
 TWO_LABELS = ("loc", "method")
 
 
-@query("fit_gbt_categorical", f"SELECT row_id, {r('p1 + 0.01 * p2')} AS prediction FROM fitted2",
+@query("fit_gbt_categorical_stumps", f"SELECT row_id, {r('p1 + 0.01 * p2')} AS prediction FROM fitted2",
        rows0=STUMP_ROWS, **_stump("rows0", 1, TWO_LABELS), rows1="SELECT * REPLACE (y - p1 AS y) FROM fitted1",
        **_stump("rows1", 2, TWO_LABELS))
-def fit_gbt_categorical(spark, d):
+def fit_gbt_categorical_stumps(spark, d):
     return _stumps(spark, d, trees.CATEGORICAL, [], ["hospital_location", "transport_method"])
 
 
@@ -103,12 +103,12 @@ UNION ALL SELECT 2::int, avg((y - 0.1 * p2) ** 2) FROM fitted2 WHERE held
 UNION ALL SELECT 3::int, avg((y - 0.1 * p3) ** 2) FROM fitted3 WHERE held"""
 
 
-@query("early_stopping", f"""
+@query("early_stopping_stumps", f"""
 SELECT round, {r('e', 1)} AS validation_error, e = (SELECT min(e) FROM rounds) AS is_best FROM rounds""",
        rows0=STUMP_ROWS, **_stump("rows0", 1, rows="NOT held"),
        rows1="SELECT * REPLACE (y - p1 AS y) FROM fitted1", **_stump("rows1", 2, rows="NOT held"),
        rows2="SELECT * REPLACE (y - 0.1 * p2 AS y) FROM fitted2", **_stump("rows2", 3, rows="NOT held"), rounds=ROUNDS)
-def early_stopping(spark, d):
+def early_stopping_stumps(spark, d):
     df = _stump_rows(spark, d)
     model = trees.fit_gbt(df.filter("fold <> 0"), ["equipment_width"], ["hospital_location"], Y,
                           replace(trees.BOOSTED, trees=3, depth=1), df.filter("fold = 0"), 200)
@@ -140,45 +140,62 @@ def tree_frame(spark, d):
     return df, [*NUMERIC, *SHIPMENTS.flags, "hospital_id_count", "hospital_id_te"], CATEGORIES
 
 
-def _boosted(spark, d, config, valid=False, patience=None):
+# fixed value: rounds without a better one that end the long configurations
+PATIENCE = 100
+
+
+def _boosted(spark, d, config, patience=None):
+    """Model and score predictions; with ``patience``, the first fold is held out and ends the boosting."""
     df, numeric, labels = tree_frame(spark, d)
     train, score_rows = df.filter("is_train"), df.filter("not is_train")
-    held = train.filter("fold = 0") if valid else None
-    model = trees.fit_gbt(train.filter("fold <> 0") if valid else train, numeric, labels, "y", config, held, patience)
+    held = train.filter("fold = 0") if patience else None
+    model = trees.fit_gbt(train.filter("fold <> 0") if patience else train, numeric, labels, "y", config, held, patience)
     return model, model.predict(score_rows).select("row_id", F.expm1("prediction").alias("prediction"))
 
 
+@query("fit_gbt")
+def fit_gbt(spark, d):
+    return _boosted(spark, d, trees.BOOSTED)[1]
+
+
 @query("fit_gbt_subsample")
 def fit_gbt_subsample(spark, d):
-    return _boosted(spark, d, replace(trees.BOOSTED_SUBSAMPLED, trees=5, subsample=0.7))[1]
+    return _boosted(spark, d, replace(trees.BOOSTED_SUBSAMPLED, subsample=0.7))[1]
 
 
 @query("fit_gbt_leafwise")
 def fit_gbt_leafwise(spark, d):
-    return _boosted(spark, d, trees.with_rounds(trees.LEAFWISE_SHALLOW, 5))[1]
+    return _boosted(spark, d, trees.LEAFWISE_SHALLOW, PATIENCE)[1]
 
 
-@query("fit_gbt_abs_full")
-def fit_gbt_abs_full(spark, d):
-    return _boosted(spark, d, trees.with_rounds(trees.LEAFWISE_ABSOLUTE, 5))[1]
+@query("fit_gbt_abs")
+def fit_gbt_abs(spark, d):
+    return _boosted(spark, d, trees.LEAFWISE_ABSOLUTE, PATIENCE)[1]
 
 
-@query("fit_gbt_categorical_full")
-def fit_gbt_categorical_full(spark, d):
-    return _boosted(spark, d, trees.with_rounds(trees.CATEGORICAL, 5))[1]
+@query("fit_gbt_categorical")
+def fit_gbt_categorical(spark, d):
+    return _boosted(spark, d, trees.CATEGORICAL, PATIENCE)[1]
 
 
-@query("early_stopping_full")
-def early_stopping_full(spark, d):
-    model, _ = _boosted(spark, d, trees.with_rounds(trees.BOOSTED, 8), valid=True, patience=3)
+@query("early_stopping")
+def early_stopping(spark, d):
+    model, _ = _boosted(spark, d, trees.BOOSTED, PATIENCE)
     rows = [(i + 1, float(e), i + 1 == model.rounds) for i, e in enumerate(model.errors)]
     return spark.createDataFrame(rows, "round int, validation_error double, is_best boolean")
 
 
+@query("fit_decision_tree")
+def fit_decision_tree(spark, d):
+    df, numeric, labels = tree_frame(spark, d)
+    model = trees.fit_tree(df.filter("is_train"), numeric, labels, "y", depth=5)
+    return model.predict(df.filter("not is_train")).select("row_id", "prediction")
+
+
 @query("fit_random_forest")
 def fit_random_forest(spark, d):
     df, numeric, labels = tree_frame(spark, d)
-    model = trees.fit_forest(df.filter("is_train"), numeric, labels, "y", trees=10)
+    model = trees.fit_forest(df.filter("is_train"), numeric, labels, "y", trees=100)
     return model.predict(df.filter("not is_train")).select("row_id", "prediction")
 
 

@@ -3,12 +3,13 @@
 1.  A pass over the texts gives each document the size and a fingerprint of its set
     of word shingles, a signature of one byte per hash function, and band keys.
     Documents with the same set are one class from here on.
-2.  Classes that share a band key are candidates. A bucket is not expanded into all
-    its pairs: in each round its leaders meet the members that are not yet in the
-    leader's component. The first leader is the member with the most company in all
-    its bands; later rounds take twice as many each, drawn by a hash, until the
-    bucket is one component or every member has been a leader. So a bucket of
-    copies ends after a round or two, and no candidate pair goes untested.
+2.  Classes that share a band key are candidates. A bucket is not expanded into its
+    pairs. First each bucket's leader, the member with the most company in all its
+    buckets, meets the other members, and links merge components. Where a bucket
+    still has several components, the members outside its largest one meet all
+    members of other components; a task compares a block of the former with a block
+    of the latter on their signatures and hands on only the pairs that survive. So a
+    bucket of copies is settled by its leader, and no candidate pair goes untested.
 3.  A pair is compared batch by batch of its signature. After each batch the
     posterior of its similarity under a uniform prior is known from the matches; the
     pair is dropped as soon as it reaches the threshold with less than the chosen
@@ -34,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.operators.keyed import KeyedTable
@@ -46,8 +47,8 @@ PERCENT = 85
 BANDS, ROWS = 36, 8
 BATCH = 32
 MISS = 1e-7
-#: Members of a bucket that one task meets with its leaders.
-SALT_ROWS = 2_000
+#: Members outside the largest component, and members they meet, that one block takes of a bucket.
+BLOCK_ASKERS, BLOCK_MEMBERS = 256, 512
 SEED = 11
 
 _CHUNK = 256
@@ -172,7 +173,7 @@ def _classes(signed: DataFrame) -> DataFrame:
 
 
 def _members(firsts: DataFrame) -> DataFrame:
-    """Buckets with company: key, uid, n, cnt (size of the bucket), level (the round in which the member leads)."""
+    """Buckets with company: key, uid, n, cnt (size of the bucket), head and nh (its leader, and the size of its set)."""
     bands = firsts.select("uid", "n", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1")
     members = materialise(bands.join(shared, "key"), "buckets")
@@ -180,26 +181,102 @@ def _members(firsts: DataFrame) -> DataFrame:
     # the hash makes the choice among equals the same on every run
     ranked = members.join(company, "uid").withColumn(
         "rank", F.col("company") * (1 << 20) + F.pmod(F.xxhash64("uid"), F.lit(1 << 20)))
-    heads = ranked.groupBy("key").agg(F.max_by("uid", "rank").alias("head"))
-    share = F.pmod(F.xxhash64("key", "uid"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("cnt")
-    level = F.when(F.col("uid") == F.col("head"), 0).otherwise(
-        F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(share, F.lit(1.0)))))).cast("int")
-    return materialise(members.join(heads, "key").select("key", "uid", "n", "cnt", level.alias("level")), "members")
-
-
-def _candidates(members: DataFrame, level: int) -> DataFrame:
-    """Distinct pairs (a, b) of this round's leaders with members of other components whose sizes allow a link."""
-    salts = F.floor(F.col("cnt") / SALT_ROWS).cast("int")
-    leaders = members.filter(F.col("level") == level).select(
-        "key", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
-        F.explode(F.sequence(F.lit(0), salts)).alias("salt"))
-    others = members.filter(F.col("level") >= level).select(
-        "key", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("level").alias("lb"),
-        F.pmod(F.xxhash64("uid"), salts + 1).cast("int").alias("salt"))
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-    met = leaders.join(others, ["key", "salt"]).filter(
-        (F.col("ca") != F.col("cb")) & near & ((F.col("lb") > level) | (F.col("a") < F.col("b"))))
-    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("_one")).drop("_one")
+    heads = ranked.groupBy("key").agg(F.max_by("uid", "rank").alias("head"), F.max_by("n", "rank").alias("nh"))
+    return materialise(members.join(heads, "key"), "members")
+
+
+def _near(n: str, m: str) -> Column:
+    """Sizes that allow a link."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of leaders with members of their buckets."""
+    met = members.filter((F.col("uid") != F.col("head")) & _near("n", "nh"))
+    return met.select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")).distinct()
+
+
+def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members of buckets with several components: key, uid, n, comp, cnt, asks (outside the largest one), _askers."""
+    known = members.join(linked, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    parts = known.groupBy("key", "comp").agg(F.count("*").alias("_m"))
+    open_ = parts.groupBy("key").agg(F.max_by("comp", "_m").alias("main"), F.max("_m").alias("_most"), F.count("*").alias("_comps")
+                                     ).filter("_comps > 1").select("key", "main", "_most")
+    rows = known.join(open_, "key").select("key", "uid", "n", "comp", "cnt", (F.col("comp") != F.col("main")).alias("asks"),
+                                           (F.col("cnt") - F.col("_most")).alias("_askers"))
+    return materialise(rows, "open")
+
+
+def _others(rows: DataFrame, full: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket in different components that may be linked.
+
+    Members of a bucket's largest component need not meet each other. The others
+    ("askers") are cut into blocks, and so are the members they meet: every row of a
+    block meets every block of askers once. Shingles that no other open class has
+    cannot be shared, which bounds the overlap of a pair; pairs within that bound go
+    through the batches of their signatures.
+    """
+    single = full.select("uid", F.explode("shingles").alias("_s")).groupBy("_s").agg(
+        F.count("*").alias("_c"), F.min("uid").alias("uid")).filter("_c = 1")
+    own = single.groupBy("uid").agg(F.count("*").alias("_own"))
+    rows = rows.join(own, "uid", "left").withColumn("most", F.col("n") - F.coalesce("_own", F.lit(0)))
+    rows = rows.join(firsts.select("uid", "sig", "bands"), "uid")
+    blocks = lambda total, size: F.ceil(total / F.lit(float(size))).cast("int")
+    of = lambda count: F.pmod(F.xxhash64("uid"), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    ask_blocks, row_blocks = blocks(F.col("_askers"), BLOCK_ASKERS), blocks(F.col("cnt"), BLOCK_MEMBERS)
+    asking = rows.filter("asks").withColumn("ask", of(ask_blocks)).withColumn("block", every(row_blocks))
+    meeting = rows.withColumn("block", of(row_blocks)).withColumn("ask", every(ask_blocks))
+    columns = ["key", "ask", "block", "role", "uid", "n", "most", "comp", "asks", "sig", "bands"]
+    both = asking.withColumn("role", F.lit(0)).select(*columns).unionAll(meeting.withColumn("role", F.lit(1)).select(*columns))
+    dealt = both.repartition("key", "ask", "block").sortWithinPartitions("key", "ask", "block", "role")
+    return dealt.mapInPandas(_meet_blocks, "a long, b long").distinct()
+
+
+def _meet_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compare the askers of each block with its members; rows come sorted by block, askers first."""
+    least, current, askers = least_matches(), None, []
+    for batch in batches:
+        place = list(zip(batch["key"], batch["ask"], batch["block"], batch["role"]))
+        starts = [0, *(k for k in range(1, len(place)) if place[k] != place[k - 1]), len(place)]
+        found = []
+        for start, end in zip(starts, starts[1:]):
+            part = _Block.of(batch.iloc[start:end])
+            if place[start][:3] != current:
+                current, askers = place[start][:3], []
+            if place[start][3] == 0:
+                askers.append(part)
+            else:
+                found += [pairs for a in askers if len(pairs := a.meet(part, place[start][0], least))]
+        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        yield pd.DataFrame({"a": out.min(axis=1, initial=2**62), "b": out.max(axis=1, initial=-1)})
+
+
+class _Block:
+    """Some members of a bucket as arrays."""
+
+    def __init__(self, uid: np.ndarray, n: np.ndarray, most: np.ndarray, comp: np.ndarray, asks: np.ndarray, sig: np.ndarray,
+                 bands: np.ndarray):
+        self.uid, self.n, self.most, self.comp, self.asks, self.sig, self.bands = uid, n, most, comp, asks, sig, bands
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> "_Block":
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+        return cls(*(rows[c].to_numpy() for c in ("uid", "n", "most", "comp")), rows["asks"].to_numpy(bool), sig,
+                   np.stack(rows["bands"].to_numpy()))
+
+    def meet(self, other: "_Block", key: int, least: np.ndarray) -> np.ndarray:
+        """(uid, uid) of the pairs that survive; two askers meet in one order only, and a pair counts in its first bucket."""
+        out = []
+        for i in range(len(self.uid)):
+            overlap = np.minimum(self.most[i], other.most)
+            near = overlap * 100 >= (self.n[i] + other.n - overlap) * PERCENT
+            k = np.flatnonzero((self.comp[i] != other.comp) & near & (~other.asks | (self.uid[i] < other.uid)))
+            if len(k):
+                k = k[may_be_similar(np.broadcast_to(self.sig[i], (len(k), self.sig.shape[1])), other.sig[k], least)]
+                k = k[self.bands[i][(self.bands[i] == other.bands[k]).argmax(axis=1)] == key]
+                out.append(np.column_stack([np.full(len(k), self.uid[i]), other.uid[k]]))
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def _survivors(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -216,9 +293,8 @@ def _survivors(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     return both.filter(similar("sa", "sb")).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links: pairs whose full sets are similar enough. Texts are read again for the classes in ``pairs`` only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+def _full_sets(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(uid, shingles) of the classes in ``ids`` only, from their texts."""
     wanted = firsts.join(ids, "uid", "left_semi").select("thash", F.col("uid").alias("_uid"), F.col("doc_id").alias("_did"),
                                                          F.col("fp").alias("_fp"))
     texts = KeyedTable.of(materialise(wanted, "wanted"), "thash").attach(_texts(docs))
@@ -233,7 +309,11 @@ def _confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFram
                 out = pd.DataFrame({"uid": part["_uid"].to_numpy(), "shingles": [s.view(np.int64) for s in found]})
                 yield out[np.array(own, bool)]
 
-    full = materialise(texts.mapInPandas(sets, "uid long, shingles array<long>").dropDuplicates(["uid"]), "full_sets")
+    return materialise(texts.mapInPandas(sets, "uid long, shingles array<long>").dropDuplicates(["uid"]), "full_sets")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Links: pairs whose full sets are similar enough."""
     side = lambda id_, s: full.select(F.col("uid").alias(id_), F.col("shingles").alias(s))
     both = pairs.join(side("b", "sb"), "b").join(side("a", "sa"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -269,24 +349,22 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = _classes(signed)
     firsts = signed.join(sets.select(F.col("uid").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "uid")
     firsts = materialise(firsts, "firsts")
-    members, level = _members(firsts), 0
-    linked = materialise(firsts.limit(0).select("uid", F.col("uid").alias("comp")), "components")
-    met = linked.select(F.col("uid").alias("a"), F.col("uid").alias("b"))
-    while not members.isEmpty():
-        known = members.join(linked, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-        pairs = materialise(_candidates(known, level).join(met, ["a", "b"], "left_anti"), "pairs")
-        survivors = materialise(_survivors(pairs, firsts), "survivors")
-        if not survivors.isEmpty():
-            links = materialise(_confirmed(survivors, firsts, docs), "confirmed")
-            if not links.isEmpty():
-                linked = _merge(linked, links)
-        met, level = met.unionAll(pairs), level + 1
-        # leaders have met their whole bucket; it is done once the others are in one component
-        members = members.filter(F.col("level") >= level)
-        known = members.join(linked, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-        open_ = known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi")
-        members = materialise(members.join(open_.select("key"), "key", "left_semi"), "members")
-    return signed, sets, linked
+    members = _members(firsts)
+    none = firsts.limit(0).select("uid", F.col("uid").alias("comp"))
+    met = materialise(_stars(members), "stars")
+    pairs = materialise(_survivors(met, firsts), "survivors")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    linked = _link(materialise(none, "components"), pairs, _full_sets(ids, firsts, docs))
+    rows = _open(members, linked)
+    full = _full_sets(rows.select("uid").distinct(), firsts, docs)
+    others = _others(rows, full, firsts).join(met, ["a", "b"], "left_anti")
+    return signed, sets, _link(linked, materialise(others, "survivors"), full)
+
+
+def _link(linked: DataFrame, pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Components after the links among ``pairs`` are confirmed."""
+    links = materialise(_confirmed(pairs, full), "confirmed")
+    return linked if links.isEmpty() else _merge(linked, links)
 
 
 def _merge(linked: DataFrame, links: DataFrame) -> DataFrame:

@@ -47,9 +47,10 @@ def changed(words, rng, share):
     return [word(rng) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("salt_rows", [3, 2_000])
-def test_against_all_pairs(spark, monkeypatch, salt_rows):
-    monkeypatch.setattr(near_dedup, "SALT_ROWS", salt_rows)
+@pytest.mark.parametrize("block", [3, 500])
+def test_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_ASKERS", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", block)
     rng = random.Random(3)
     data = []
     for _ in range(12):  # groups of copies around a base

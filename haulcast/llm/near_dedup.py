@@ -200,8 +200,9 @@ def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
     """Members of buckets with several components: key, uid, n, comp, cnt, asks (outside the largest one), _askers."""
     known = members.join(linked, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     parts = known.groupBy("key", "comp").agg(F.count("*").alias("_m"))
-    open_ = parts.groupBy("key").agg(F.max_by("comp", "_m").alias("main"), F.max("_m").alias("_most"), F.count("*").alias("_comps")
-                                     ).filter("_comps > 1").select("key", "main", "_most")
+    # of components of one size the same one is taken on every run
+    open_ = parts.groupBy("key").agg(F.max(F.struct("_m", "comp")).alias("_top"), F.count("*").alias("_comps")).filter(
+        "_comps > 1").select("key", F.col("_top.comp").alias("main"), F.col("_top._m").alias("_most"))
     rows = known.join(open_, "key").select("key", "uid", "n", "comp", "cnt", (F.col("comp") != F.col("main")).alias("asks"),
                                            (F.col("cnt") - F.col("_most")).alias("_askers"))
     return materialise(rows, "open")

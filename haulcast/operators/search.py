@@ -41,7 +41,7 @@ def describe(parameters: Mapping) -> str:
 
 def best_trial(trials: DataFrame) -> DataFrame:
     """The trial with the lowest score, the earliest on ties."""
-    return trials.orderBy("score", "trial").limit(1)
+    return trials.orderBy(F.asc_nulls_last("score"), "trial").limit(1)
 
 
 def search_linear(df: DataFrame, features: Sequence[str], target: str, penalties: Sequence[Penalty],

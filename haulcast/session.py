@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,8 +32,8 @@ def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "haulcast
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read, taken from ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder: on a
-    cluster a machine-local folder would be lost with its machine.
+    Only a local session without the setting gets a temporary folder, deleted when
+    the process ends: on a cluster a machine-local folder would be lost with its machine.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             configured = tempfile.mkdtemp(prefix="run-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
         context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 

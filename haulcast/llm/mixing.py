@@ -41,6 +41,8 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 16
 #: Slots that one task lists.
 TASK_SLOTS = 500_000
+#: Documents whose taken texts are built at a time.
+SLICE_ROWS = 500
 SEED = 20_240_601
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -255,7 +257,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     def slice_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word = re.compile(WORD)
-        for b in batches:
+        for b in (whole.iloc[k: k + SLICE_ROWS] for whole in batches for k in range(0, len(whole), SLICE_ROWS)):
             at, texts = [], []
             for k, (text, spans) in enumerate(zip(b["text"], b["_spans"])):
                 places = [m.span() for m in word.finditer(text)]

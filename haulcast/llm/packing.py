@@ -43,7 +43,7 @@ WASTE = 1 / 32
 #: Unfinished pieces that one task takes on in a later round.
 ROUND_ROWS = 50_000
 
-_CACHED = 100_000
+_CACHED = 250_000
 # Fixed value: the pattern of the tokenizer file.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _NOT_LATIN = re.compile("[^\x01-\u012f]")

@@ -13,6 +13,10 @@ from haulcast.llm import exact_dedup, mixing, near_dedup, packing, quality
 from haulcast.llm.registry import table
 from haulcast.session import materialise
 
+# The stage drops pairs at 0.8 or more (op10 at 0.85). A pair at exactly 0.8
+# shares none of 49 bands of 7 hashes with a probability of 1e-5.
+NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 49, 7
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject; it learns from ``labels`` of the documents given."""
@@ -26,7 +30,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@
 4.  Survivors are confirmed on their full sets, read from the texts again for the
     classes concerned. Confirmed links merge components.
 
-With 36 bands of 8 hashes a pair at a similarity of 0.85 shares no band with a
-probability of 1e-5, at 0.9 of 2e-9.
+The least similarity and the bands are arguments (``Limits``). With 36 bands of 8
+hashes a pair at a similarity of 0.85 shares no band with a probability of 1e-5, at
+0.9 of 2e-9; for 0.8 it takes 49 bands of 7.
 
 Edge cases: null texts and texts without words have an empty set, linked with
 nothing. A text of fewer words than a shingle is one shingle. Ids may be null or
@@ -30,6 +31,7 @@ doc_id and text are ignored, or carried in ``drop_near_duplicates``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -42,7 +44,7 @@ from haulcast.operators.keyed import KeyedTable
 from haulcast.session import materialise
 
 SHINGLE = 5
-#: Least similarity in hundredths.
+#: Least similarity in hundredths, bands and hashes a band, where a call names no others.
 PERCENT = 85
 BANDS, ROWS = 36, 8
 BATCH = 32
@@ -51,6 +53,19 @@ MISS = 1e-7
 BLOCK_ASKERS, BLOCK_MEMBERS = 256, 512
 SEED = 11
 
+
+@dataclass(frozen=True)
+class Limits:
+    """Least similarity in hundredths, and the bands that find its pairs."""
+
+    percent: int = PERCENT
+    bands: int = BANDS
+    rows: int = ROWS
+
+    def least(self) -> np.ndarray:
+        return least_matches(self.percent, self.bands * self.rows)
+
+
 _CHUNK = 256
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -141,14 +156,14 @@ def may_be_similar(left: np.ndarray, right: np.ndarray, least: np.ndarray, batch
     return out
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pd.DataFrame], limits: Limits) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for text in b["text"]:
             shingles = shingle_hashes(text)
             if len(shingles):
-                values = minhash(shingles)
-                rows.append((len(shingles), fingerprint(shingles), signature(values), band_keys(values)))
+                values = minhash(shingles, limits.bands * limits.rows)
+                rows.append((len(shingles), fingerprint(shingles), signature(values), band_keys(values, limits.bands, limits.rows)))
             else:
                 rows.append((0, None, None, None))
         out = pd.DataFrame(rows, columns=["n", "fp", "sig", "bands"])
@@ -159,9 +174,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("thash"))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, thash, n (size of the set), fp, sig, bands; one row per document, numbered by ``_row``."""
-    signed = _texts(docs).mapInPandas(_sign, "doc_id long, thash long, n long, fp binary, sig binary, bands array<long>")
+    signed = _texts(docs).mapInPandas(lambda batches: _sign(batches, limits),
+                                      "doc_id long, thash long, n long, fp binary, sig binary, bands array<long>")
     return materialise(signed.withColumn("_row", F.monotonically_increasing_id()), "signatures")
 
 
@@ -185,14 +201,14 @@ def _members(firsts: DataFrame) -> DataFrame:
     return materialise(members.join(heads, "key"), "members")
 
 
-def _near(n: str, m: str) -> Column:
+def _near(n: str, m: str, percent: int) -> Column:
     """Sizes that allow a link."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _stars(members: DataFrame) -> DataFrame:
+def _stars(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of leaders with members of their buckets."""
-    met = members.filter((F.col("uid") != F.col("head")) & _near("n", "nh"))
+    met = members.filter((F.col("uid") != F.col("head")) & _near("n", "nh", percent))
     return met.select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")).distinct()
 
 
@@ -208,7 +224,7 @@ def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
     return materialise(rows, "open")
 
 
-def _others(rows: DataFrame, full: DataFrame, firsts: DataFrame) -> DataFrame:
+def _others(rows: DataFrame, full: DataFrame, firsts: DataFrame, limits: Limits) -> DataFrame:
     """Distinct pairs (a, b) of one bucket in different components that may be linked.
 
     Members of a bucket's largest component need not meet each other. The others
@@ -231,12 +247,12 @@ def _others(rows: DataFrame, full: DataFrame, firsts: DataFrame) -> DataFrame:
     columns = ["key", "ask", "block", "role", "uid", "n", "most", "comp", "asks", "sig", "bands"]
     both = asking.withColumn("role", F.lit(0)).select(*columns).unionAll(meeting.withColumn("role", F.lit(1)).select(*columns))
     dealt = both.repartition("key", "ask", "block").sortWithinPartitions("key", "ask", "block", "role")
-    return dealt.mapInPandas(_meet_blocks, "a long, b long").distinct()
+    return dealt.mapInPandas(lambda batches: _meet_blocks(batches, limits), "a long, b long").distinct()
 
 
-def _meet_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _meet_blocks(batches: Iterator[pd.DataFrame], limits: Limits) -> Iterator[pd.DataFrame]:
     """Compare the askers of each block with its members; rows come sorted by block, askers first."""
-    least, current, askers = least_matches(), None, []
+    least, current, askers = limits.least(), None, []
     for batch in batches:
         place = list(zip(batch["key"], batch["ask"], batch["block"], batch["role"]))
         starts = [0, *(k for k in range(1, len(place)) if place[k] != place[k - 1]), len(place)]
@@ -248,7 +264,7 @@ def _meet_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if place[start][3] == 0:
                 askers.append(part)
             else:
-                found += [pairs for a in askers if len(pairs := a.meet(part, place[start][0], least))]
+                found += [pairs for a in askers if len(pairs := a.meet(part, place[start][0], least, limits.percent))]
         out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         yield pd.DataFrame({"a": out.min(axis=1, initial=2**62), "b": out.max(axis=1, initial=-1)})
 
@@ -266,12 +282,12 @@ class _Block:
         return cls(*(rows[c].to_numpy() for c in ("uid", "n", "most", "comp")), rows["asks"].to_numpy(bool), sig,
                    np.stack(rows["bands"].to_numpy()))
 
-    def meet(self, other: "_Block", key: int, least: np.ndarray) -> np.ndarray:
+    def meet(self, other: "_Block", key: int, least: np.ndarray, percent: int) -> np.ndarray:
         """(uid, uid) of the pairs that survive; two askers meet in one order only, and a pair counts in its first bucket."""
         out = []
         for i in range(len(self.uid)):
             overlap = np.minimum(self.most[i], other.most)
-            near = overlap * 100 >= (self.n[i] + other.n - overlap) * PERCENT
+            near = overlap * 100 >= (self.n[i] + other.n - overlap) * percent
             k = np.flatnonzero((self.comp[i] != other.comp) & near & (~other.asks | (self.uid[i] < other.uid)))
             if len(k):
                 k = k[may_be_similar(np.broadcast_to(self.sig[i], (len(k), self.sig.shape[1])), other.sig[k], least)]
@@ -280,9 +296,9 @@ class _Block:
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _survivors(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+def _survivors(pairs: DataFrame, firsts: DataFrame, limits: Limits) -> DataFrame:
     """Pairs that no batch of their signatures rules out."""
-    least = least_matches()
+    least = limits.least()
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -313,13 +329,13 @@ def _full_sets(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(texts.mapInPandas(sets, "uid long, shingles array<long>").dropDuplicates(["uid"]), "full_sets")
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links: pairs whose full sets are similar enough."""
     side = lambda id_, s: full.select(F.col("uid").alias(id_), F.col("shingles").alias(s))
     both = pairs.join(side("b", "sb"), "b").join(side("a", "sa"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return both.filter(common * 100 >= union * PERCENT).select("a", "b")
+    return both.filter(common * 100 >= union * percent).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -344,27 +360,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed documents, distinct sets, component of each set that is linked: uid, comp)."""
-    signed = signatures(docs)
+    signed = signatures(docs, limits)
     sets = _classes(signed)
     firsts = signed.join(sets.select(F.col("uid").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "uid")
     firsts = materialise(firsts, "firsts")
     members = _members(firsts)
     none = firsts.limit(0).select("uid", F.col("uid").alias("comp"))
-    met = materialise(_stars(members), "stars")
-    pairs = materialise(_survivors(met, firsts), "survivors")
+    met = materialise(_stars(members, limits.percent), "stars")
+    pairs = materialise(_survivors(met, firsts, limits), "survivors")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    linked = _link(materialise(none, "components"), pairs, _full_sets(ids, firsts, docs))
+    linked = _link(materialise(none, "components"), pairs, _full_sets(ids, firsts, docs), limits.percent)
     rows = _open(members, linked)
     full = _full_sets(rows.select("uid").distinct(), firsts, docs)
-    others = _others(rows, full, firsts).join(met, ["a", "b"], "left_anti")
-    return signed, sets, _link(linked, materialise(others, "survivors"), full)
+    others = _others(rows, full, firsts, limits).join(met, ["a", "b"], "left_anti")
+    return signed, sets, _link(linked, materialise(others, "survivors"), full, limits.percent)
 
 
-def _link(linked: DataFrame, pairs: DataFrame, full: DataFrame) -> DataFrame:
+def _link(linked: DataFrame, pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Components after the links among ``pairs`` are confirmed."""
-    links = materialise(_confirmed(pairs, full), "confirmed")
+    links = materialise(_confirmed(pairs, full, percent), "confirmed")
     return linked if links.isEmpty() else _merge(linked, links)
 
 
@@ -379,9 +395,9 @@ def _merge(linked: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(moved.unionAll(new.join(linked.select("uid"), "uid", "left_anti")), "components")
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
+def _labelled(docs: DataFrame, limits: Limits) -> DataFrame:
     """doc_id, thash, n_shingles, component_id, kept."""
-    signed, sets, linked = near_classes(docs)
+    signed, sets, linked = near_classes(docs, limits)
     placed = sets.join(linked, "uid", "left")
     names = placed.filter("comp is not null").groupBy("comp").agg(F.min("least").alias("_least"))
     named = placed.join(names, "comp", "left").select(
@@ -392,14 +408,18 @@ def _labelled(docs: DataFrame) -> DataFrame:
                          F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    return _labelled(docs).drop("thash")
+def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Pairs at a similarity of ``percent`` hundredths or more are linked; a pair s alike
+    is missed with a probability of (1 - s ** rows) ** bands.
+    """
+    return _labelled(docs, Limits(percent, bands, rows)).drop("thash")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, with all its columns."""
-    dropped = materialise(_labelled(docs).filter("not kept").select(
+    dropped = materialise(_labelled(docs, Limits(percent, bands, rows)).filter("not kept").select(
         F.col("doc_id").alias("_did"), F.col("thash").alias("_thash")).distinct(), "dropped")
     gone = F.col("doc_id").eqNullSafe(F.col("_did")) & (F.xxhash64("text") == F.col("_thash"))
     return docs.join(dropped, gone, "left_anti")

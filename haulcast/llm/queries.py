@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulcast.llm import exact_dedup, mixing, near_dedup, packing, quality, secret_scan, toxicity, url_filter, vector_search, warc
+from haulcast.llm import (collocations, exact_dedup, license_scan, mixing, near_dedup, packing, periodic_runs, quality, secret_scan,
+                          toxicity, url_filter, vector_search, warc)
 from haulcast.llm.registry import QUERIES, SQL, query, table
 from haulcast.llm.text import LOWER, UPPER, WORD
 
@@ -97,3 +98,44 @@ def op6_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_collocations", f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+f AS (
+  SELECT lang, w[i:i + k - 1] AS p, k, count(*) AS a FROM places, (SELECT unnest([1, 2, 3]) AS k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL),
+candidates AS (SELECT * FROM f WHERE k > 1 AND a >= {collocations.LEAST}),
+cuts AS (
+  SELECT c.lang, c.p, c.a, x.a AS l, y.a AS r, x.k AS cut,
+         (1000000::hugeint * c.a * c.a // (x.a::hugeint * y.a))::bigint AS score
+  FROM candidates c JOIN f x ON x.lang = c.lang AND x.k < c.k AND x.p = c.p[1:x.k]
+  JOIN f y ON y.lang = c.lang AND y.p = c.p[x.k + 1:c.k]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+covers AS (
+  SELECT lang, p[1:2] AS p, a FROM candidates WHERE k = 3 UNION ALL SELECT lang, p[2:3], a FROM candidates WHERE k = 3),
+covered AS (SELECT lang, p, max(a) AS most FROM covers GROUP BY ALL),
+kept AS (
+  SELECT lowest.*, array_to_string(p, ' ') AS phrase FROM lowest LEFT JOIN covered USING (lang, p)
+  WHERE 100 * coalesce(most, 0) < {collocations.COVER_PERCENT} * a)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score
+FROM kept JOIN (SELECT lang, sum(a)::bigint AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= {collocations.TOP}""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_license_scan", license_scan.licence_sql())
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licence_labels(license_scan.scan_licences(table(spark, sf_dir, "documents")))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.with_planted_loops(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(planted))

@@ -6,17 +6,20 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.wrapper import JavaWrapper
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulcast.operators.encode import label_encode
+from haulcast.session import materialise
 
 
 PART_ROWS = 50_000
+# the first fit with patience spans so many patiences; beyond it boosting goes on in slabs of so many rounds
+FIRST_PATIENCES, SLAB_ROUNDS = 3, 25
 
 
 @dataclass(frozen=True)
@@ -138,38 +141,82 @@ def fit_assembled(ready: DataFrame, target: str, config: TreeConfig, bins: int,
                   patience: int | None = None) -> tuple[GBTRegressionModel, int, list[float] | None]:
     """Boost on rows with assembled ``features``: model, rounds kept, validation error per round.
 
-    With ``patience`` boosting goes on, twice as far each time, until that many
-    rounds brought nothing better or the configured number is reached; the trees up
-    to the best round are kept as they are.
+    With ``patience`` a first fit spans a few patiences. While its best round is too
+    recent, boosting goes on from its predictions, slab by slab, until that many
+    rounds brought nothing better or the configured number is reached. No round is
+    fitted twice; the trees up to the best round are kept as they are.
     """
     learner = _learner(config, target, bins)
     if held is None:
         return learner.fit(ready), config.trees, None
-    rounds = config.trees if patience is None else min(config.trees, patience + max(25, patience // 4))
-    while True:
-        model = learner.copy({learner.maxIter: rounds}).fit(ready)
-        errors = list(model.evaluateEachIteration(held, config.loss))
-        best = best_round(errors, patience)
-        if rounds == config.trees or rounds - best >= patience:
-            break
-        rounds = min(config.trees, 2 * rounds)
+    rounds = config.trees if patience is None else min(config.trees, FIRST_PATIENCES * patience)
+    model = learner.copy({learner.maxIter: rounds}).fit(ready)
+    errors = list(model.evaluateEachIteration(held, config.loss))
+    trees, weights = list(model._java_obj.trees()), list(model.treeWeights)
+    best = best_round(errors, patience)
+    if patience is not None and rounds < config.trees and rounds - best < patience:
+        going = _GoingOn(model, ready, held, target, config, bins)
+        while len(errors) < config.trees and len(errors) - best < patience:
+            more, found = going.slab(len(errors), min(SLAB_ROUNDS, config.trees - len(errors)))
+            trees += more
+            weights += [config.rate] * len(more)
+            errors += found
+            best = best_round(errors, patience)
     if patience is not None:
         errors = errors[: best + patience]
-    return first_trees(model, best), best, errors
-
-
-def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
-    """The boosted model of the first ``count`` rounds, without fitting again."""
-    if count == model.getNumTrees:
-        return model
-    gateway = SparkContext._gateway
-    learners = gateway.jvm.org.apache.spark.ml.regression
-    trees, weights = gateway.new_array(learners.DecisionTreeRegressionModel, count), gateway.new_array(gateway.jvm.double, count)
-    whole = model._java_obj.trees()
-    for k, weight in enumerate(model.treeWeights[:count]):
-        trees[k], weights[k] = whole[k], float(weight)
-    short = learners.GBTRegressionModel(f"{model.uid}_first_{count}", trees, weights)
-    return GBTRegressionModel(short.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol()))
+    return boosted_model(trees[:best], weights[:best]), best, errors
+
+
+class _GoingOn:
+    """Boosting from the predictions of a fitted model, one tree at a time on the residual column.
+
+    The predictions of both sides are written with the rows after each slab, so the
+    plan of a round holds the trees of its slab only.
+    """
+
+    def __init__(self, model: GBTRegressionModel, ready: DataFrame, held: DataFrame, target: str, config: TreeConfig, bins: int):
+        score = lambda df: df.select("features", target, F.col("tree_prediction").alias("so_far"))
+        self.sides = [materialise(score(model.transform(side)), "boosted") for side in (ready, held)]
+        self.target, self.config = target, config
+        self.learner = RandomForestRegressor(
+            featuresCol="features", labelCol="residual", predictionCol="tree_prediction", numTrees=1, bootstrap=False,
+            subsamplingRate=config.subsample, featureSubsetStrategy=config.features, maxDepth=config.depth,
+            maxBins=max(config.bins, bins), minInstancesPerNode=config.min_rows)
+
+    def _residual(self) -> Column:
+        gap = F.col(self.target) - F.col("so_far")
+        return gap if self.config.loss == "squared" else F.when(gap < 0, -1.0).otherwise(1.0)
+
+    def slab(self, done: int, rounds: int) -> tuple[list, list[float]]:
+        """Fit ``rounds`` more trees: the trees, and the validation error after each."""
+        trees, (train, held), after = [], self.sides, []
+        for k in range(rounds):
+            tree = self.learner.copy({self.learner.seed: self.config.seed + done + k}).fit(
+                train.withColumn("residual", self._residual()))
+            trees.append(tree._java_obj.trees()[0])
+            step = F.col("so_far") + F.lit(self.config.rate) * F.col("tree_prediction")
+            keep = [c for c in held.columns if c != "so_far"]
+            train = tree.transform(train).select("features", self.target, step.alias("so_far"))
+            held = tree.transform(held).select(*keep, step.alias("so_far"), step.alias(f"after_{k}"))
+        gaps = [F.col(self.target) - F.col(f"after_{k}") for k in range(rounds)]
+        errors = held.agg(*[F.avg(g * g if self.config.loss == "squared" else F.abs(g)) for g in gaps]).first()
+        self.sides = [materialise(side.select("features", self.target, "so_far"), "boosted") for side in (train, held)]
+        return trees, list(errors)
+
+
+def boosted_model(trees: Sequence, weights: Sequence[float]) -> GBTRegressionModel:
+    """The boosted model with the given trees and weights, without a fit."""
+    jvm = SparkSession.active()._jvm
+    array = JavaWrapper._new_java_array(list(trees), jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel)
+    doubles = JavaWrapper._new_java_array([float(w) for w in weights], jvm.double)
+    made = JavaWrapper._new_java_obj("org.apache.spark.ml.regression.GBTRegressionModel", f"boosted_{len(trees)}", array, doubles)
+    made.setFeaturesCol("features")
+    made.setPredictionCol("tree_prediction")
+    model = GBTRegressionModel(made)
+    # the Python side takes its column names from the parameters of the model it wraps
+    model._resetUid(made.uid())
+    model._transfer_params_from_java()
+    return model
 
 
 def best_round(errors: Sequence[float], patience: int | None = None) -> int:

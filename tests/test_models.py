@@ -1,5 +1,7 @@
 """Models against closed forms, brute force and planted signals."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -249,3 +251,87 @@ def test_out_of_fold_and_score_average(spark):
     both = [m.predict(df.filter("id < 5")).orderBy("id").toPandas().prediction for m in models.values()]
     mean = ensemble.score_predictions(df.filter("id < 5"), models).orderBy("id").toPandas().prediction
     assert np.allclose(mean, sum(both) / 2)
+
+
+def brute_tree(x, y, rows, depth, min_rows):
+    """Predictions per row of the greedy tree that lessens squared error most at each cut."""
+    mean = sum(y[i] for i in rows) / len(rows)
+    best = None
+    for f in range(len(x[0])) if depth else ():
+        for cut in sorted({x[i][f] for i in rows})[:-1]:
+            low, high = [i for i in rows if x[i][f] <= cut], [i for i in rows if x[i][f] > cut]
+            if min(len(low), len(high)) < min_rows:
+                continue
+            gain = sum(y[i] for i in low) ** 2 / len(low) + sum(y[i] for i in high) ** 2 / len(high)
+            if best is None or gain > best[0] + 1e-9:
+                best = gain, low, high
+    if best is None or best[0] - mean * mean * len(rows) <= 1e-9:
+        return {i: mean for i in rows}
+    return brute_tree(x, y, best[1], depth - 1, min_rows) | brute_tree(x, y, best[2], depth - 1, min_rows)
+
+
+def brute_rows(spark, count=60):
+    rnd = random.Random(12)
+    x = [(float(rnd.randint(0, 9)), float(rnd.randint(0, 6)), float(rnd.randint(0, 4))) for _ in range(count)]
+    y = [3 * a + (5 * b if a > 4 else -2 * b) + c + rnd.gauss(0, 2) for a, b, c in x]
+    df = spark.createDataFrame([(i, *v, t) for i, (v, t) in enumerate(zip(x, y))], "id int, a double, b double, c double, y double")
+    return x, y, df
+
+
+@pytest.mark.parametrize("depth, min_rows", [(1, 1), (3, 1), (4, 5)])
+def test_tree_equals_brute_force(spark, depth, min_rows):
+    x, y, df = brute_rows(spark)
+    model = trees.fit_tree(df, ["a", "b", "c"], [], "y", depth=depth, min_rows=min_rows)
+    want = brute_tree(x, y, list(range(len(y))), depth, min_rows)
+    got = {r.id: r.prediction for r in model.predict(df).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_boosting_equals_brute_force(spark):
+    x, y, df = brute_rows(spark)
+    config = trees.TreeConfig(trees=6, depth=3, rate=0.3, min_rows=2)
+    model = trees.fit_gbt(df, ["a", "b", "c"], [], "y", config)
+    so_far = brute_tree(x, y, list(range(len(y))), 3, 2)
+    for _ in range(5):
+        tree = brute_tree(x, [t - so_far[i] for i, t in enumerate(y)], list(range(len(y))), 3, 2)
+        so_far = {i: p + 0.3 * tree[i] for i, p in so_far.items()}
+    assert {r.id: r.prediction for r in model.predict(df).collect()} == pytest.approx(so_far, abs=1e-9)
+
+
+def test_forest_is_the_mean_of_its_trees(spark):
+    _, _, df = brute_rows(spark)
+    model = trees.fit_forest(df, ["a", "b", "c"], [], "y", 7, 3)
+    scored = model.assembler.transform(df)
+    each = [t.setPredictionCol("p").transform(scored).select("id", "p").collect() for t in model.model.trees]
+    mean = {rows[0].id: sum(r.p for r in rows) / len(rows) for rows in zip(*each)}
+    assert {r.id: r.prediction for r in model.predict(df).collect()} == pytest.approx(mean)
+
+
+@pytest.mark.parametrize("loss", ["squared", "absolute"])
+def test_boosting_goes_on_as_if_never_stopped(spark, monkeypatch, loss):
+    """A short first fit and slabs after it give the trees and errors of one long fit."""
+    _, _, df = brute_rows(spark, 200)
+    train, valid = df.filter("id % 4 > 0"), df.filter("id % 4 = 0")
+    config = trees.TreeConfig(trees=11, depth=2, rate=0.2, loss=loss)
+    whole = trees.fit_gbt(train, ["a", "b", "c"], [], "y", config, valid, 9)
+    monkeypatch.setattr(trees, "FIRST_PATIENCES", 0.5)
+    monkeypatch.setattr(trees, "SLAB_ROUNDS", 3)
+    parts = trees.fit_gbt(train, ["a", "b", "c"], [], "y", config, valid, 8)
+    assert len(parts.errors) > 4 and parts.errors == pytest.approx(whole.errors[: len(parts.errors)])
+    assert {r.id: r.prediction for r in parts.predict(df).collect()} == pytest.approx(
+        {r.id: r.prediction for r in whole.predict(df).collect()}, abs=1e-9)
+
+
+def test_cut_back_model_predicts_with_the_trees_it_keeps(spark):
+    _, _, df = brute_rows(spark)
+    noise = df.withColumn("y", F.rand(5))
+    config = trees.TreeConfig(trees=30, depth=4, rate=0.5)
+    model = trees.fit_gbt(noise.filter("id % 2 = 0"), ["a", "b", "c"], [], "y", config, noise.filter("id % 2 = 1"), 5)
+    assert model.rounds < 30 and model.model.getNumTrees == model.rounds
+    scored = model.assembler.transform(df)
+    total = {r.id: 0.0 for r in df.collect()}
+    for tree, weight in zip(model.model.trees, model.model.treeWeights):
+        for r in tree.setPredictionCol("p").transform(scored).select("id", "p").collect():
+            total[r.id] += weight * r.p
+    assert {r.id: r.prediction for r in model.predict(df).collect()} == pytest.approx(total)
+    assert model.errors[model.rounds - 1] == min(model.errors)

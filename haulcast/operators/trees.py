@@ -19,7 +19,7 @@ from haulcast.session import materialise
 
 PART_ROWS = 50_000
 # the first fit with patience spans so many patiences; beyond it boosting goes on in slabs of so many rounds
-FIRST_PATIENCES, SLAB_ROUNDS = 3, 25
+FIRST_PATIENCES, SLAB_ROUNDS = 6, 25
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,11 @@ def with_rounds(config: TreeConfig, trees: int) -> TreeConfig:
     return replace(config, trees=trees)
 
 
+def coarser(config: TreeConfig, times: int) -> TreeConfig:
+    """Steps ``times`` as large in as many times fewer rounds."""
+    return replace(config, trees=config.trees // times, rate=config.rate * times)
+
+
 def tree_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[PipelineModel, int, int]:
     """Fitted assembler that keeps categories as categories, the bins they need, and the number of rows.
 
@@ -189,18 +194,21 @@ class _GoingOn:
 
     def slab(self, done: int, rounds: int) -> tuple[list, list[float]]:
         """Fit ``rounds`` more trees: the trees, and the validation error after each."""
-        trees, (train, held), after = [], self.sides, []
+        trees, (train, held) = [], self.sides
+        step = F.col("so_far") + F.lit(self.config.rate) * F.col("tree_prediction")
         for k in range(rounds):
             tree = self.learner.copy({self.learner.seed: self.config.seed + done + k}).fit(
                 train.withColumn("residual", self._residual()))
             trees.append(tree._java_obj.trees()[0])
-            step = F.col("so_far") + F.lit(self.config.rate) * F.col("tree_prediction")
-            keep = [c for c in held.columns if c != "so_far"]
-            train = tree.transform(train).select("features", self.target, step.alias("so_far"))
+            keep, before = [c for c in held.columns if c != "so_far"], train
+            train = tree.transform(train).select("features", self.target, step.alias("so_far")).persist()
+            train.count()
+            before.unpersist()
             held = tree.transform(held).select(*keep, step.alias("so_far"), step.alias(f"after_{k}"))
         gaps = [F.col(self.target) - F.col(f"after_{k}") for k in range(rounds)]
         errors = held.agg(*[F.avg(g * g if self.config.loss == "squared" else F.abs(g)) for g in gaps]).first()
         self.sides = [materialise(side.select("features", self.target, "so_far"), "boosted") for side in (train, held)]
+        train.unpersist()
         return trees, list(errors)
 
 

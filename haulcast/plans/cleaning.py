@@ -108,12 +108,45 @@ def target_quantile_uniform(spark, d):
     return rounded(df.select("row_id", fitted.uniform(F.col(Y)).alias("u")), "u")
 
 
-@query("target_quantile_normal")
+def _polynomial(x: str, coefficients: tuple[float, ...]) -> str:
+    """Powers added one by one, highest first."""
+    powers = range(len(coefficients) - 1, -1, -1)
+    return "(" + " + ".join(f"{c!r}::double * pow({x}, {k})" for c, k in zip(coefficients, powers)) + ")"
+
+
+def _quotient(x: str, parts: tuple[tuple[float, ...], tuple[float, ...]]) -> str:
+    return f"{_polynomial(x, parts[0])} / {_polynomial(x, parts[1])}"
+
+
+NORMAL = f"""
+SELECT row_id, transport_cost, CASE WHEN abs(p - 0.5) <= 0.425
+         THEN (p - 0.5) * {_quotient("(0.180625 - (p - 0.5) * (p - 0.5))", target.CENTRAL)}
+         ELSE sign(p - 0.5) * CASE WHEN far <= 5 THEN {_quotient("(far - 1.6)", target.MIDDLE)}
+                                   ELSE {_quotient("(far - 5)", target.TAIL)} END END AS z
+FROM (SELECT *, sqrt(-ln(least(p, 1 - p))) AS far
+      FROM (SELECT *, least(greatest(u, 1e-7), 1 - 1e-7) AS p FROM shares WHERE u IS NOT NULL))
+UNION ALL SELECT row_id, transport_cost, NULL FROM shares WHERE u IS NULL"""
+# the share of the normal below z by Simpson's rule, which the query finds by a series
+BELOW = """
+SELECT row_id, (0.5 + z / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401),
+         lambda k: CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-(z * k / 400) * (z * k / 400) / 2)))
+       ) * 999 AS place, z, transport_cost FROM normal"""
+
+
+@query("target_quantile_normal", f"""
+SELECT row_id, transport_cost, {r('z')} AS z, {r('qs[i + 1] + (place - i) * (qs[i + 2] - qs[i + 1])', 2)} AS back
+FROM (SELECT *, least(floor(place), 998)::int AS i FROM below),
+     (SELECT quantile_cont(transport_cost, [{', '.join(repr(i / 999) for i in range(1000))}]) AS qs FROM shipments)""",
+       levels=LEVELS, shares="""
+SELECT row_id, transport_cost, CASE WHEN a.v = transport_cost THEN (a.low + a.high) / 2
+       ELSE a.high + (transport_cost - a.v) / (b.v - a.v) * (b.low - a.high) END AS u
+FROM shipments ASOF LEFT JOIN levels a ON transport_cost >= a.v ASOF LEFT JOIN levels b ON transport_cost <= b.v""",
+       normal=NORMAL, below=BELOW)
 def target_quantile_normal(spark, d):
     df = _cost(spark, d)
     fitted = target.QuantileNormal.fit(df, Y)
     z = df.withColumn("z", fitted.forward(F.col(Y)))
-    return rounded(z.withColumn("back", fitted.backward(F.col("z"))), "z", "back")
+    return rounded(rounded(z.withColumn("back", fitted.backward(F.col("z"))), "z"), "back", digits=2)
 
 
 @query("outlier_iqr", """

@@ -142,6 +142,10 @@ def tree_frame(spark, d):
 
 # fixed values: rounds without a better one that end the configurations of 2000 and of 5000 rounds
 PATIENCE, LONG_PATIENCE = 100, 200
+# A round costs about half a second on any table, as each level of a tree is a job, and the small steps of these
+# configurations need more than a thousand rounds. The queries take larger steps, fewer rounds and less patience.
+STEPS, LONG_STEPS = 5, 10
+SHALLOW = trees.coarser(trees.LEAFWISE_SHALLOW, STEPS)
 
 
 def _boosted(spark, d, config, patience=None):
@@ -165,22 +169,22 @@ def fit_gbt_subsample(spark, d):
 
 @query("fit_gbt_leafwise")
 def fit_gbt_leafwise(spark, d):
-    return _boosted(spark, d, trees.LEAFWISE_SHALLOW, PATIENCE)[1]
+    return _boosted(spark, d, SHALLOW, PATIENCE // STEPS)[1]
 
 
 @query("fit_gbt_abs")
 def fit_gbt_abs(spark, d):
-    return _boosted(spark, d, trees.LEAFWISE_ABSOLUTE, LONG_PATIENCE)[1]
+    return _boosted(spark, d, trees.coarser(trees.LEAFWISE_ABSOLUTE, LONG_STEPS), LONG_PATIENCE // LONG_STEPS)[1]
 
 
 @query("fit_gbt_categorical")
 def fit_gbt_categorical(spark, d):
-    return _boosted(spark, d, trees.CATEGORICAL, LONG_PATIENCE)[1]
+    return _boosted(spark, d, trees.coarser(trees.CATEGORICAL, LONG_STEPS), LONG_PATIENCE // LONG_STEPS)[1]
 
 
 @query("early_stopping")
 def early_stopping(spark, d):
-    model, _ = _boosted(spark, d, trees.LEAFWISE_SHALLOW, PATIENCE)
+    model, _ = _boosted(spark, d, SHALLOW, PATIENCE // STEPS)
     rows = [(i + 1, float(e), i + 1 == model.rounds) for i, e in enumerate(model.errors)]
     return spark.createDataFrame(rows, "round int, validation_error double, is_best boolean")
 

@@ -38,6 +38,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Words of the mix as a share of all words, and how often a source may be repeated.
 SHARE, LIMIT = 1.5, 2
 BLOCK_WORDS = 64
+# a source has at least so many blocks, or blocks of one word
+LEAST_BLOCKS = 64
 SHARD_SLOTS = 1 << 16
 #: Slots that one task lists.
 TASK_SLOTS = 500_000
@@ -67,25 +69,56 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], share: float = SH
 
 @dataclass
 class Sources:
-    """Sizes, targets, blocks and slots by source; one number each, also on the driver."""
+    """Sizes, targets, words of a block, blocks and slots by source; one number each, also on the driver.
+
+    A source of few words has shorter blocks, so that half a block is little beside its target.
+    """
 
     keys: list[str]
     sizes: np.ndarray
     targets: np.ndarray
+    block: np.ndarray
     blocks: np.ndarray
     slots: np.ndarray
 
     @classmethod
-    def of(cls, keys: list[str], sizes: list[int], weights: Sequence[float], share: float, limit: int, block: int) -> "Sources":
+    def of(cls, keys: list[str], sizes: list[int], weights: Sequence[float], share: float, limit: int, block: int,
+           seed: int = SEED) -> "Sources":
         sizes = np.asarray(sizes, np.int64)
         targets = water_fill(sizes, [weights[k % len(weights)] for k in range(len(sizes))], share, limit)
-        blocks = -(-sizes // block)
-        exact = np.divide(targets * blocks, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
-        return cls(keys, sizes, targets, blocks, np.minimum(np.rint(exact).astype(np.int64), limit * blocks))
+        lengths = np.clip(sizes // LEAST_BLOCKS, 1, block)
+        blocks = -(-sizes // lengths)
+        slots = [slots_near(t, int(n), int(b), limit, s, seed) for s, (t, n, b) in enumerate(zip(targets, sizes, lengths))]
+        return cls(keys, sizes, targets, lengths, blocks, np.array(slots, dtype=np.int64))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = list(zip(self.keys, range(len(self.keys)), self.sizes.tolist(), self.targets.tolist()))
-        return spark.createDataFrame(rows, "_key string, _s int, source_size long, target double")
+        rows = list(zip(self.keys, range(len(self.keys)), self.sizes.tolist(), self.targets.tolist(), self.block.tolist()))
+        return spark.createDataFrame(rows, "_key string, _s int, source_size long, target double, _length long")
+
+
+def slots_near(target: float, size: int, block: int, limit: int, source: int, seed: int) -> int:
+    """The number of slots whose blocks hold the number of words nearest to the target.
+
+    All blocks but the last have ``block`` words. Whether the short one is among those
+    that the unfinished pass takes is known beforehand from the inverse permutation.
+    """
+    if not size:
+        return 0
+    blocks = -(-size // block)
+    turn = min(int(target // size), limit)
+    if turn == limit:
+        return limit * blocks
+    lost = blocks * block - size
+    short_at = int(permuted(blocks - 1, blocks, pass_seed(seed, source, turn), back=True)[0])
+    rest = target - turn * size
+    near = {min(blocks, int(rest // block) + k) for k in range(3)}
+    return turn * blocks + min(near, key=lambda k: (abs(k * block - lost * (short_at < k) - rest), k))
+
+
+def pass_seed(seed: int, source, turn) -> np.ndarray:
+    """Seed of the permutation of a source's blocks in a pass."""
+    source, turn = (np.asarray(x).astype(np.uint64) for x in (source, turn))
+    return np.uint64(seed) + source * np.uint64(1_000_003) + turn * np.uint64(7_919)
 
 
 def _key(source: Column) -> Column:
@@ -93,13 +126,13 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
-def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Element ``index`` of a pseudorandom permutation of 0 .. size - 1.
+def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray, back: bool = False) -> np.ndarray:
+    """Element ``index`` of a pseudorandom permutation of 0 .. size - 1; with ``back`` the place of an element.
 
     Four rounds of a Feistel network on the smallest even number of bits, repeated
     for the values that fall outside.
     """
-    index, size, seed = (np.asarray(x).astype(np.uint64) for x in np.broadcast_arrays(index, size, seed))
+    index, size, seed = (np.atleast_1d(x).astype(np.uint64) for x in np.broadcast_arrays(index, size, seed))
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(size, 2).astype(float))) / 2 + 0.5).astype(np.uint64))
     half += ((np.uint64(1) << (half + half)) < size).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
@@ -107,11 +140,12 @@ def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarra
     while len(todo):
         h, m, s = half[todo], mask[todo], seed[todo]
         left, right = out[todo] >> h, out[todo] & m
-        for k in range(4):
-            x = right + s + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        for k in range(3, -1, -1) if back else range(4):
+            x = (left if back else right) + s + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
             for shift, factor in zip((30, 27), _MIX):
                 x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-            left, right = right, left ^ ((x ^ (x >> np.uint64(31))) & m)
+            mixed = (x ^ (x >> np.uint64(31))) & m
+            left, right = (right ^ mixed, left) if back else (right, left ^ mixed)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= size[todo]]
     return out.astype(np.int64)
@@ -124,7 +158,7 @@ def _positions(sized: DataFrame) -> DataFrame:
     takes most of the partitions; a running sum inside each is shifted by what the
     partitions before it hold of the source.
     """
-    schema = "_row long, _s int, size long, _inside long, _part int"
+    schema = "_row long, _s int, size long, _length long, _inside long, _part int"
 
     def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source, words = None, 0
@@ -136,21 +170,22 @@ def _positions(sized: DataFrame) -> DataFrame:
                 inside += words * (~first.iloc[1:]).cummin().reindex(b.index, fill_value=True)
             if len(b):
                 source, words = b["_s"].iloc[-1], int(inside.iloc[-1] + b["size"].iloc[-1])
-            yield b[["_row", "_s", "size"]].assign(_inside=inside.astype("int64"), _part=b["_part"])
+            yield b[["_row", "_s", "size", "_length"]].assign(_inside=inside.astype("int64"), _part=b["_part"])
 
     order = ["_s", "doc_id", "size", "_row"]
-    ranged = sized.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = sized.select(*order, "_length").repartitionByRange(*order).sortWithinPartitions(*order)
     placed = materialise(ranged.withColumn("_part", F.spark_partition_id())
-                         .select("_row", "_s", "size", "_part").mapInPandas(running, schema), "positions")
+                         .select("_row", "_s", "size", "_length", "_part").mapInPandas(running, schema), "positions")
     parts = placed.groupBy("_s", "_part").agg(F.sum("size").alias("_words"))
     before = F.sum("_words").over(Window.partitionBy("_s").orderBy("_part")) - F.col("_words")
     bases = parts.select(F.col("_s").alias("_bs"), F.col("_part").alias("_bp"), before.alias("_base"))
     joined = placed.join(bases, (F.col("_s") == F.col("_bs")) & (F.col("_part") == F.col("_bp")))
-    return joined.select("_row", "_s", "size", (F.col("_base") + F.col("_inside")).alias("_start"))
+    return joined.select("_row", "_s", "size", "_length", (F.col("_base") + F.col("_inside")).alias("_start"))
 
 
-def _pieces(positions: DataFrame, block: int) -> DataFrame:
+def _pieces(positions: DataFrame) -> DataFrame:
     """Blocks by the documents they cut: (_row, _s, _block, from_word, words)."""
+    block = F.col("_length")
     first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)
     cut = positions.filter("size > 0").select("*", F.explode(F.sequence(first, last)).alias("_block"))
     start = F.greatest(F.col("_block") * block - F.col("_start"), F.lit(0))
@@ -192,8 +227,7 @@ def _slots(spark: SparkSession, sources: Sources, shard_slots: int, seed: int) -
                 nth[over] = drawn[to] + spare - missing[to]
                 size = block_counts[source]
                 turn = nth // size
-                seeds = np.uint64(seed) + source.astype(np.uint64) * np.uint64(1_000_003) + turn.astype(np.uint64) * np.uint64(7_919)
-                block = permuted(nth - turn * size, size, seeds)
+                block = permuted(nth - turn * size, size, pass_seed(seed, source, turn))
                 yield pd.DataFrame({"shard": shard, "_s": source.astype(np.int32), "_block": block, "_nth": nth})
 
     before = F.sum("_count").over(Window.partitionBy("_s").orderBy("shard")) - F.col("_count")
@@ -225,9 +259,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     sized = materialise(docs.select("_row", "doc_id", _key(F.col("source")).alias("_key"), words.alias("size")), "sizes")
     totals = {r["_key"]: r["words"] for r in sized.groupBy("_key").agg(F.sum("size").alias("words")).collect()}
     keys = sorted(totals)  # code points, null last
-    sources = Sources.of(keys, [totals[k] for k in keys], weights, share, limit, block_words)
+    sources = Sources.of(keys, [totals[k] for k in keys], weights, share, limit, block_words, seed)
     rows = KeyedTable.of(materialise(sources.table(spark), "sources"), "_key").attach(sized)
-    pieces = _pieces(_positions(rows), block_words)
+    pieces = _pieces(_positions(rows))
     slots = _slots(spark, sources, shard_slots, seed)
     # both sides grow with the corpus, although the slots come from a short table
     taken = slots.join(pieces.hint("merge"), ["_s", "_block"]).select("shard", "slot", "_row", "from_word", "words")
@@ -248,26 +282,28 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Pieces of one document that follow each other, taken equally often, come as one
     text, so a document that is taken whole stays whole.
     """
-    columns = docs.columns
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    plan = mix(numbered, **options)
+    # own names while helper columns are beside the caller's
+    name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    numbered = materialise(docs.toDF(*name.values()).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    plan = mix(numbered.select("_row", *[F.col(name[c]).alias(c) for c in ("doc_id", "text", "source")]), **options)
     spans = plan.pieces.groupBy("_row").agg(F.collect_list(F.struct("from_word", "words")).alias("_spans"))
     joined = numbered.join(spans, "_row").drop("_row")
     schema = joined.drop("_spans").schema
+    text_column, length_column = name["text"], name.get("n_chars")
 
     def slice_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word = re.compile(WORD)
         for b in (whole.iloc[k: k + SLICE_ROWS] for whole in batches for k in range(0, len(whole), SLICE_ROWS)):
             at, texts = [], []
-            for k, (text, spans) in enumerate(zip(b["text"], b["_spans"])):
+            for k, (text, spans) in enumerate(zip(b[text_column], b["_spans"])):
                 places = [m.span() for m in word.finditer(text)]
                 for start, end in runs([(s["from_word"], s["words"]) for s in spans]):
                     at.append(k)
                     texts.append(text[places[start][0]: places[end - 1][1]])
-            out = b.drop(columns="_spans").iloc[at].assign(text=texts)
-            yield out.assign(n_chars=[len(t) for t in texts]) if "n_chars" in columns else out
+            out = b.drop(columns="_spans").iloc[at].assign(**{text_column: texts})
+            yield out.assign(**{length_column: [len(t) for t in texts]}) if length_column else out
 
-    return joined.mapInPandas(slice_texts, schema).select(*columns)
+    return joined.mapInPandas(slice_texts, schema).toDF(*docs.columns)
 
 
 def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -93,3 +93,23 @@ def test_small_batches(spark):
         assert sorted(map(tuple, mixing.mixed_sizes(docs).collect())) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_inverse_permutation():
+    for size in (1, 2, 5, 64, 1000):
+        for seed in (0, 9, 2**40):
+            places = mixing.permuted(np.arange(size), size, seed)
+            assert (mixing.permuted(places, size, seed, back=True) == np.arange(size)).all()
+
+
+@pytest.mark.parametrize("size, target", [(130, 108), (129, 216), (201, 167), (1, 2), (5, 7), (64, 100), (6_401, 9_000), (70, 3)])
+def test_words_drawn_come_near_the_target(size, target):
+    """Half a block from the target at most, whichever pass draws the short last block."""
+    for seed in range(20):
+        sources = mixing.Sources.of(["0a"], [size], [1], target / size, 2, mixing.BLOCK_WORDS, seed)
+        block, blocks, slots = (int(x[0]) for x in (sources.block, sources.blocks, sources.slots))
+        words = 0
+        for nth in range(slots):
+            at = int(mixing.permuted(nth % blocks, blocks, mixing.pass_seed(seed, 0, nth // blocks))[0])
+            words += min(block, size - at * block)
+        assert abs(words - min(target, 2 * size)) <= block / 2 and slots <= 2 * blocks

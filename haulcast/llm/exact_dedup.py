@@ -106,12 +106,10 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     the table moves one row per task. Ids that tie with the same text leave any
     one of the rows.
     """
-    columns = docs.columns
     hashes = materialise(docs.select(text_hash().alias("digest")), "hashes")
     repeated, words = _flagged(hashes)
-    flagged = flag_possible_repeats(docs.withColumn("_digest", text_hash()), "_digest", repeated, words)
-    kept = (
-        flagged.filter("_maybe").groupBy("_digest")
-        .agg(F.max_by(F.struct(*columns), F.struct(F.col("doc_id"))).alias("_row")).select("_row.*")
-    )
-    return flagged.filter("not _maybe").select(*columns).unionAll(kept)
+    # the caller's columns travel in one, apart from the helpers
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    flagged = flag_possible_repeats(packed.withColumn("_digest", text_hash("_doc.text")), "_digest", repeated, words)
+    kept = flagged.filter("_maybe").groupBy("_digest").agg(F.max_by("_doc", "_doc.doc_id").alias("_doc")).select("_doc.*")
+    return flagged.filter("not _maybe").select("_doc.*").unionAll(kept)

@@ -421,5 +421,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = B
     """The rows of ``docs`` that stay: one document of each component, with all its columns."""
     dropped = materialise(_labelled(docs, Limits(percent, bands, rows)).filter("not kept").select(
         F.col("doc_id").alias("_did"), F.col("thash").alias("_thash")).distinct(), "dropped")
-    gone = F.col("doc_id").eqNullSafe(F.col("_did")) & (F.xxhash64("text") == F.col("_thash"))
-    return docs.join(dropped, gone, "left_anti")
+    # the caller's columns travel in one, apart from those of the dropped rows
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    gone = F.col("_doc.doc_id").eqNullSafe(F.col("_did")) & (F.xxhash64("_doc.text") == F.col("_thash"))
+    return packed.join(dropped, gone, "left_anti").select("_doc.*")

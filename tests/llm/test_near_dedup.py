@@ -16,7 +16,7 @@ def shingles(text):
     return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(data):
+def brute(data, percent=85):
     """component of each id, by all pairs."""
     sets = [(d, shingles(t)) for d, t in data]
     root = {d: d for d, _ in sets}
@@ -28,7 +28,7 @@ def brute(data):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 lo, hi = sorted((find(a), find(b)))
                 root[hi] = lo
     return {d: (len(s), find(d)) for d, s in sets}

@@ -50,7 +50,7 @@ def test_exact(stages):
 
 def test_near(stages):
     before, after = stages["near_dedup"]
-    groups = brute([(r.doc_id, r.text) for r in before])
+    groups = brute([(r.doc_id, r.text) for r in before], corpus_pipeline.NEAR_PERCENT)
     assert Counter(after) == Counter(r for r in before if groups[r.doc_id][1] == r.doc_id)
 
 
@@ -94,3 +94,32 @@ def test_packing(stages):
 
 def test_whole_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages["packing"][1])
+
+
+HELPERS = ("_digest _maybe _word _bits _row_word _did _thash _row _spans _doc _part _s _block _length _taken _key c0 c1 w t fp key "
+           "comp band n size").split()
+
+
+def test_clashing_columns_pass_through(spark):
+    """Columns named like any helper come out of the document stages as they went in."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    texts = base.selectExpr("*", *[f"concat('{h}', doc_id) AS {h}" for h in HELPERS])
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    stages = [corpus_pipeline.exact_duplicates, corpus_pipeline.near_duplicates, corpus_pipeline.source_mix]
+    for stage in [lambda s, d, f: quality.keep_good(d, quality.fit_quality(d, labels)), *stages]:
+        kept = stage(spark, texts, SF)
+        rows = kept.collect()
+        assert kept.columns == texts.columns and rows
+        assert all(r[h] == f"{h}{r.doc_id}" for r in rows for h in HELPERS)
+
+
+@pytest.mark.parametrize("data", [
+    [], [(7, "one two three", "en", "a", 13)],
+    [(None, None, None, None, None), (1, "", "en", None, 0), (1, "a b c d e f", "en", "x", 11), (1, "a b c d e f", "en", "x", 11),
+     (2, "word " * 30_000, None, "y", 150_000), (3, "A B c d e f", "de", "x", 11)]])
+def test_edge_tables_run_through(spark, tmp_path, data):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(pieces) == bool(data) and all(0 < p.length <= 2048 for p in pieces)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from haulcast.operators import blend, encode, ensemble, folds, impute, metrics, scale, search, target
+from haulcast.operators import blend, encode, ensemble, folds, foldwise, impute, metrics, scale, search, target
 from haulcast.operators import linear as lm
 from haulcast.operators.linear import Penalty
 from haulcast.plans.registry import bucket, query, r, rounded, ships
@@ -303,3 +303,68 @@ def fit_wide_lasso(spark, d):
     df, _, labels = full_design(spark, d)
     model = lm.fit_wide(df.filter("is_train"), list(SHIPMENTS.numeric), labels, Y, Penalty("lasso", 0.1))
     return model.transform(df.filter("not is_train")).select("row_id", "prediction")
+
+
+# preprocessing fitted outside each fold -------------------------------------------------------------
+
+GAPS = ["equipment_height", "supplier_reliability"]
+GAP_ROWS = f"""
+SELECT held, fold, y, coalesce((h - mh) / sh, 0) AS x1, coalesce((s - ms) / ss, 0) AS x2
+FROM (SELECT {bucket('row_id', 42, K)} AS fold, ln(1 + greatest(transport_cost, 0)) AS y, equipment_height AS h,
+             supplier_reliability AS s FROM shipments WHERE is_train AND transport_cost IS NOT NULL)
+CROSS JOIN (
+  SELECT held, avg(h) AS mh, sqrt(sum((h - a) ** 2) / count(*)) AS sh, avg(s) AS ms, sqrt(sum((s - b) ** 2) / count(*)) AS ss
+  FROM (SELECT *, avg(h) OVER (PARTITION BY held) AS a, avg(s) OVER (PARTITION BY held) AS b
+        FROM (SELECT {bucket('row_id', 42, K)} AS fold, equipment_height AS h, supplier_reliability AS s
+              FROM shipments WHERE is_train AND transport_cost IS NOT NULL)
+        JOIN (SELECT unnest(range({K})) AS held) ON fold <> held) GROUP BY held)"""
+
+
+def logged(spark, d, *names):
+    """Train and score rows with the logarithm of the cost and folds; nothing else is fitted."""
+    df = target.log_target(target.clip_lower(ships(spark, d, "row_id", "is_train", Y, *names), Y), Y, "y")
+    return folds.assign_folds(df, "row_id", K)
+
+
+@query("fold_fit_preprocessing", f"""
+SELECT fold::int AS fold, {r('avg((y - (my + w1 * (x1 - m1) + w2 * (x2 - m2))) ** 2)')} AS mse
+FROM gaps JOIN solved USING (held) WHERE fold = held GROUP BY fold""",
+       gaps=GAP_ROWS, moments=_moments("SELECT * FROM gaps WHERE fold <> held", "held"), solved=_closed("50.0"))
+def fold_fit_preprocessing(spark, d):
+    """Held-out error per fold of a ridge model whose imputing and scaling are fitted outside the fold."""
+    df = logged(spark, d, *GAPS).filter("is_train")
+    out = foldwise.fold_errors(df, foldwise.raw_sums(df, GAPS, [], "y"), [Penalty("ridge", 50.0)])
+    return rounded(out.select("fold", "mse"), "mse")
+
+
+WIDE_LABELS = ["equipment_type", "transport_method", "hospital_info", "hospital_location", *SHIPMENTS.flags]
+# fixed values: the 30 alphas and 9 ratios of the elastic-net study
+FULL_GRID = [Penalty("elastic_net", a, l1) for l1 in search.evenly_spaced(0.1, 0.9, 9) for a in search.log_spaced(1e-3, 10, 30)]
+
+
+@query("search_grid_full")
+def search_grid_full(spark, d):
+    """270 elastic nets over 5 folds on all numbers and labels, preprocessing fitted per fold."""
+    df = logged(spark, d, *SHIPMENTS.numeric, *WIDE_LABELS).filter("is_train")
+    return foldwise.search_foldwise(df, SHIPMENTS.numeric, WIDE_LABELS, "y", FULL_GRID)[0]
+
+
+@query("cost_by_foldwise_grid")
+def cost_by_foldwise_grid(spark, d):
+    """Predicted costs of the score rows by the best of the 270 elastic nets."""
+    df = logged(spark, d, *SHIPMENTS.numeric, *WIDE_LABELS)
+    _, model = foldwise.search_foldwise(df.filter("is_train"), SHIPMENTS.numeric, WIDE_LABELS, "y", FULL_GRID)
+    out = model.predict(df.filter("not is_train"), "y")
+    return out.select("row_id", F.expm1("prediction").alias("prediction"))
+
+
+@query("fit_lasso_path_cv_full")
+def fit_lasso_path_cv_full(spark, d):
+    """A path of 100 lasso penalties over 5 folds on all numbers and labels, preprocessing fitted per fold."""
+    df = logged(spark, d, *SHIPMENTS.numeric, *WIDE_LABELS).filter("is_train")
+    raw = foldwise.raw_sums(df, SHIPMENTS.numeric, WIDE_LABELS, "y")
+    everything = raw.outside(None)
+    alphas = lm.default_path(foldwise.Preprocessing.fit(raw, everything).sums(everything), 100)
+    errors = foldwise.fold_errors(df, raw, [Penalty("lasso", a) for a in alphas])
+    table = spark.createDataFrame(list(enumerate(alphas)), "trial int, alpha double")
+    return errors.groupBy("trial").agg(F.avg("mse").alias("mse")).join(F.broadcast(table), "trial").select("alpha", "mse")

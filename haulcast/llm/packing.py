@@ -43,7 +43,8 @@ WASTE = 1 / 32
 #: Unfinished pieces that one task takes on in a later round.
 ROUND_ROWS = 50_000
 
-_CACHED = 250_000
+#: Words and parts of words whose ids a worker remembers; a full memory starts anew.
+REMEMBERED = 400_000
 # Fixed value: the pattern of the tokenizer file.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _NOT_LATIN = re.compile("[^\x01-\u012f]")
@@ -79,13 +80,13 @@ class WordIds:
     tokenizer. Both steps remember what they have seen, up to a limit.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         table = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {k: table.pre_tokenize_str(chr(k))[0][0] for k in range(1, 0x130)}
-        self.parts = _Remembered(self._part, _CACHED)
-        self.words = _Remembered(self._word, _CACHED)
+        self.parts = _Remembered(self._part, remembered)
+        self.words = _Remembered(self._word, remembered)
 
     def encode(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -111,8 +112,8 @@ def _pack(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=2)
-def word_ids(name: str) -> WordIds:
-    return WordIds(public_tokenizers.path(name))
+def word_ids(name: str, remembered: int = REMEMBERED) -> WordIds:
+    return WordIds(public_tokenizers.path(name), remembered)
 
 
 def cut(tokens: int, capacity: int = CAPACITY) -> list[int]:
@@ -187,11 +188,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return df.astype({c: "int32" if c == "klass" else "Int64" for c in names})
 
 
-def _tokenize(name: str, capacity: int, end_id: int) -> Callable:
+def _tokenize(name: str, capacity: int, end_id: int, remembered: int) -> Callable:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, filler = word_ids(name), Filler(_first_id(0), capacity)
+        ids, filler = word_ids(name, remembered), Filler(_first_id(0), capacity)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
@@ -226,7 +227,7 @@ def _refill(level: int, capacity: int, last: bool) -> Callable:
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID,
-         round_rows: int = ROUND_ROWS) -> DataFrame:
+         round_rows: int = ROUND_ROWS, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, klass.
 
     Every round is written, so a lost executor repeats only its own tasks. A round
@@ -234,11 +235,12 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     ``round_rows`` of them.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    placed = materialise(texts.mapInPandas(_tokenize(tokenizer, capacity, end_id), PIECES), "pieces")
+    placed = materialise(texts.mapInPandas(_tokenize(tokenizer, capacity, end_id, remembered), PIECES), "pieces")
     done, level = placed.filter("sequence_id is not null"), 1
-    open_ = placed.filter("sequence_id is null")
+    open_, tasks = placed.filter("sequence_id is null"), None
     while rows := open_.count():
-        tasks = -(-rows // round_rows)
+        # each round has at most half the tasks of the one before, however few rows a task may take on
+        tasks = max(1, min(-(-rows // round_rows), tasks // 2 if tasks else rows))
         placed = materialise(open_.repartition(tasks).mapInPandas(_refill(level, capacity, tasks == 1), PIECES), "pieces")
         done = done.unionAll(placed.filter("sequence_id is not null"))
         open_, level = placed.filter("sequence_id is null"), level + 1

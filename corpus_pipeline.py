@@ -16,6 +16,8 @@ from haulcast.session import materialise
 # The stage drops pairs at 0.8 or more (op10 at 0.85). A pair at exactly 0.8
 # shares none of 49 bands of 7 hashes with a probability of 1e-5.
 NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 49, 7
+# fewer words remembered than in op2 alone: the workers of the stages before still hold memory
+PACKING_WORDS = 250_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=PACKING_WORDS)
 
 
 STAGES = [

@@ -23,6 +23,7 @@ text and lang are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 LEAST, LONGEST, COVER_PERCENT, TOP = 10, 3, 50, 2000
 
 # words counted before a task hands on the transducers of a shard
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_500_000
 # texts are numbered in slices of about this size
 SLICE_BYTES = 1 << 20
 # text bytes behind one prefix range
@@ -102,7 +103,7 @@ class Shard:
             listed = list(number)[1:]
             order = sorted(range(len(listed)), key=listed.__getitem__)
             words = [listed[k] for k in order]
-            rank = np.zeros(len(number), dtype=np.int64)
+            rank = np.zeros(len(number), dtype=np.int32)
             rank[np.array(order, dtype=np.int64) + 1] = np.arange(1, len(words) + 1)
             phrases, weights = ngram_counts(rank[np.concatenate(parts)], self.longest, len(words))
             place = ranges_of(phrases, word_hashes(words), self.ranges)
@@ -142,7 +143,7 @@ def _distinct(rows: np.ndarray, labels: int) -> tuple[np.ndarray, np.ndarray]:
         key = (key << bits) | rows[:, d]
     key, counts = np.unique(key, return_counts=True)
     mask = (1 << bits) - 1
-    return np.stack([(key >> (bits * (width - 1 - d))) & mask for d in range(width)], axis=1), counts
+    return np.stack([((key >> (bits * (width - 1 - d))) & mask).astype(rows.dtype) for d in range(width)], axis=1), counts
 
 
 def shard_transducers(docs: DataFrame, ranges: int, longest: int = LONGEST) -> DataFrame:
@@ -321,8 +322,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
     united = materialise(united_transducers(shard_transducers(docs, ranges, longest), longest, least), "counts")
     answers = answered_parts(asked_parts(united, ranges, longest), united, longest)
     best = scored_candidates(united, answers, longest, cover_percent, top)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    # the lists of all ranges meet in groups first, so that one task of a language does not read them all
+    groups = F.pmod(F.xxhash64("phrase"), F.lit(math.isqrt(ranges)))
+    for part in (["lang", groups], ["lang"]):
+        order = Window.partitionBy(*part).orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+        best = best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
     totals = united.groupBy("lang").agg(F.sum("words_seen").alias("n"))
     counted = KeyedTable.of(materialise(totals, "languages"), "lang").attach(best)
     return counted.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -291,19 +292,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     schema = joined.drop("_spans").schema
     text_column, length_column = name["text"], name.get("n_chars")
 
-    def slice_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)
-        for b in (whole.iloc[k: k + SLICE_ROWS] for whole in batches for k in range(0, len(whole), SLICE_ROWS)):
+        for b in (whole.slice(k, SLICE_ROWS) for whole in batches for k in range(0, whole.num_rows, SLICE_ROWS)):
             at, texts = [], []
-            for k, (text, spans) in enumerate(zip(b[text_column], b["_spans"])):
+            for k, (cell, spans) in enumerate(zip(b.column(text_column), b.column("_spans"))):
+                text = cell.as_py()
                 places = [m.span() for m in word.finditer(text)]
-                for start, end in runs([(s["from_word"], s["words"]) for s in spans]):
+                for start, end in runs([(s["from_word"], s["words"]) for s in spans.as_py()]):
                     at.append(k)
                     texts.append(text[places[start][0]: places[end - 1][1]])
-            out = b.drop(columns="_spans").iloc[at].assign(**{text_column: texts})
-            yield out.assign(**{length_column: [len(t) for t in texts]}) if length_column else out
+            made = {text_column: texts, length_column: [len(t) for t in texts]}
+            own = [f for f in b.schema if f.name != "_spans"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(made[f.name], f.type) if f.name in made else b.column(f.name).take(pa.array(at, pa.int64())) for f in own],
+                names=[f.name for f in own])
 
-    return joined.mapInPandas(slice_texts, schema).toDF(*docs.columns)
+    return joined.mapInArrow(slice_texts, schema).toDF(*docs.columns)
 
 
 def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

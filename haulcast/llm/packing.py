@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark import TaskContext
@@ -43,6 +44,8 @@ WASTE = 1 / 32
 #: Unfinished pieces that one task takes on in a later round.
 ROUND_ROWS = 50_000
 
+#: Pieces handed to the engine at a time.
+OUT_ROWS = 20_000
 #: Words and parts of words whose ids a worker remembers; a full memory starts anew.
 REMEMBERED = 400_000
 # Fixed value: the pattern of the tokenizer file.
@@ -191,25 +194,30 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def _tokenize(name: str, capacity: int, end_id: int, remembered: int) -> Callable:
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, filler = word_ids(name, remembered), Filler(_first_id(0), capacity)
+        out: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                data = memoryview(ids.of(text) + end)
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                data = memoryview(ids.of(text.as_py()) + end)
                 tokens, start = len(data) // 4, 0
                 for length in cut(tokens, capacity):
                     crc = zlib.crc32(data[4 * start: 4 * (start + length)])
-                    filler.add((doc_id, start, length, crc, tokens), out)
+                    filler.add((doc_id.as_py(), start, length, crc, tokens), out)
                     start += length
-            yield _frame(out)
-        out = []
+                if len(out) >= OUT_ROWS:
+                    yield _batch(out)
+                    out = []
         filler.rest(out)
-        yield _frame(out)
+        yield _batch(out)
 
     return run
 
 
+def _batch(pieces: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(_frame(pieces), preserve_index=False)
+
+
 def _refill(level: int, capacity: int, last: bool) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filler = Filler(_first_id(level), capacity)
@@ -235,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     ``round_rows`` of them.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    placed = materialise(texts.mapInPandas(_tokenize(tokenizer, capacity, end_id, remembered), PIECES), "pieces")
+    placed = materialise(texts.mapInArrow(_tokenize(tokenizer, capacity, end_id, remembered), PIECES), "pieces")
     done, level = placed.filter("sequence_id is not null"), 1
     open_, tasks = placed.filter("sequence_id is null"), None
     while rows := open_.count():

@@ -17,11 +17,22 @@ from haulcast.session import materialise
 # shares none of 49 bands of 7 hashes with a probability of 1e-5.
 NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 49, 7
 # fewer words remembered than in op2 alone: the workers of the stages before still hold memory
-PACKING_WORDS = 250_000
+PACKING_WORDS = 100_000
+#: Rows in an Arrow batch: whole texts of 10,000 documents, Spark's default, take too much memory beside the heap.
+ARROW_ROWS = 1_000
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches; it stays so, as a stage's rows are computed after its function returns."""
+    given = int(spark.conf.get(ARROW_SETTING))
+    # zero or less means no limit
+    spark.conf.set(ARROW_SETTING, str(min(given, ARROW_ROWS) if given > 0 else ARROW_ROWS))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject; it learns from ``labels`` of the documents given."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
@@ -32,16 +43,19 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs, NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts that the mix of sources takes, some of them more than once."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    small_batches(spark)
     return packing.pack(docs, remembered=PACKING_WORDS)
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -267,6 +267,17 @@ def fit_path_cv(df: DataFrame, features: Sequence[str], target: str, alphas: Seq
     return sums.model(sums.total, best), df.sparkSession.createDataFrame(path, "alpha double, mse double")
 
 
+def fit_vector_ols(df: DataFrame, vector: str, target: str, rounds: int = 300) -> LinearRegressionModel:
+    """Least squares over a vector column of any width, by limited-memory quasi-Newton steps from zero.
+
+    No table of products is built. Terms that never occur keep a zero, and of dependent terms the
+    steps come near the solution of least norm. Rows without a target are left out; ``rounds`` bounds the steps.
+    """
+    learner = LinearRegression(featuresCol=vector, labelCol=target, predictionCol="prediction", regParam=0.0,
+                               standardization=False, solver="l-bfgs", maxIter=rounds, tol=1e-9)
+    return learner.fit(df.dropna(subset=[target]))
+
+
 def fit_wide(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
              penalty: Penalty = Penalty()) -> PipelineModel:
     """Linear model over sparse one-hot vectors, for more features than fit a dense matrix.

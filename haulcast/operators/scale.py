@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations, combinations_with_replacement
 
+from pyspark.ml.feature import PolynomialExpansion
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,12 @@ def interactions(df: DataFrame, cols: Sequence[str], squares: bool = False) -> t
     pairs = combinations_with_replacement(cols, 2) if squares else combinations(cols, 2)
     new = {f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in pairs}
     return df.withColumns(new), [*cols, *new]
+
+
+def poly_vector(df: DataFrame, vector: str, out: str = "poly") -> DataFrame:
+    """All terms of degree 1 and 2 of a vector column, squares included, as one vector.
+
+    Of a sparse vector only the products of its nonzero elements are stored, so a row costs by its
+    labels and not by all labels there are. Of (a, b, c) the order is a, aa, b, ab, bb, c, ac, bc, cc.
+    """
+    return PolynomialExpansion(degree=2, inputCol=vector, outputCol=out).transform(df)

@@ -7,6 +7,7 @@ where they do not.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from haulcast.operators import blend, encode, ensemble, folds, foldwise, impute, metrics, scale, search, target
@@ -14,6 +15,7 @@ from haulcast.operators import linear as lm
 from haulcast.operators.linear import Penalty
 from haulcast.plans.registry import bucket, query, r, rounded, ships
 from haulcast.roles import SHIPMENTS
+from haulcast.session import materialise
 
 Y = "transport_cost"
 TWO = ["x1", "x2"]
@@ -305,6 +307,23 @@ def fit_wide_lasso(spark, d):
     return model.transform(df.filter("not is_train")).select("row_id", "prediction")
 
 
+@query("fit_poly_ols_full")
+def fit_poly_ols_full(spark, d):
+    """Least squares on all degree-2 terms of the scaled numbers, the flags and the one-hot labels."""
+    labels = ["equipment_type", "transport_method", "hospital_info", "hospital_location"]
+    df = ships(spark, d, "row_id", "is_train", Y, *SHIPMENTS.numeric, *labels, *SHIPMENTS.flags)
+    train = F.col("is_train")
+    df = target.negative_or_null_to_positive_mean(df, Y, train)
+    df = impute.flags_to_int(impute.impute_mode(df, [*labels, *SHIPMENTS.flags], train), SHIPMENTS.flags)
+    df = scale.scale_standard(impute.impute_mean(df, SHIPMENTS.numeric, train), SHIPMENTS.numeric, train)
+    df = encode.one_hot_vector(df, labels, "hot", train)
+    design = VectorAssembler(inputCols=[*SHIPMENTS.numeric, *SHIPMENTS.flags, "hot"], outputCol="design").transform(df)
+    design = scale.poly_vector(materialise(design.select("row_id", "is_train", Y, "design"), "design"), "design")
+    model = lm.fit_vector_ols(design.filter("is_train"), "poly", Y)
+    out = blend.negatives_to_positive_mean(model.transform(design.filter("not is_train")), "prediction")
+    return out.select("row_id", "prediction")
+
+
 # preprocessing fitted outside each fold -------------------------------------------------------------
 
 GAPS = ["equipment_height", "supplier_reliability"]

@@ -279,6 +279,36 @@ def blend_meta(spark, d):
     return rounded(out.select("row_id", "prediction"), "prediction", digits=2)
 
 
+def _one_feature_bases(target_column):
+    return {n: lambda t, v, x=x: lm.fit_linear(t, [x], target_column) for n, x in (("a", "x1"), ("b", "x2"))}
+
+
+def _nested(spark, d):
+    df = base(spark, d).withColumn("ly", F.log1p("y"))
+    return ensemble.oof_table(df.filter("is_train"), df.filter("not is_train"), K, _one_feature_bases("ly"), "row_id", "ly")
+
+
+@query("oof_fold_scores", f"""
+SELECT model, fold, count(*) AS rows, {r('avg(abs(y - p))')} AS mae, {r('sqrt(avg((y - p) ** 2))')} AS rmse
+FROM (SELECT 'a' AS model, fold, ln(1 + y) AS y, c1 + u1 * x1 AS p FROM base JOIN single ON held = fold WHERE is_train
+      UNION ALL SELECT 'b', fold, ln(1 + y), c2 + u2 * x2 FROM base JOIN single ON held = fold WHERE is_train)
+GROUP BY model, fold""", base=BASE, single=SINGLE)
+def oof_fold_scores(spark, d):
+    """Held-out errors of two bases by fold, from the nested table of their predictions."""
+    return rounded(ensemble.fold_scores(_nested(spark, d)), "mae", "rmse")
+
+
+@query("stack_nested", f"""
+SELECT row_id, {r('my + w1 * (x1 - m1) + w2 * (x2 - m2)')} AS prediction FROM scored, solved""",
+       base=BASE, single=SINGLE, columns=COLUMNS, scored=SCORED, moments=_moments("SELECT * FROM columns"),
+       descent=_descent(f"SELECT *, 1 AS trial, n * {META_ALPHA} AS l1, 0 AS l2 FROM moments", "trial"), solved=LAST)
+def stack_nested(spark, d):
+    """A lasso over the columns of the nested table."""
+    oof, scored = ensemble.base_columns(_nested(spark, d), "row_id", ["a", "b"])
+    model = ensemble.fit_meta(oof, ["a", "b"], "target", META_ALPHA)
+    return rounded(model.predict(scored).select("row_id", "prediction"), "prediction")
+
+
 # the full design: every numeric column imputed and scaled, every small category one-hot -------------
 
 def full_design(spark, d):

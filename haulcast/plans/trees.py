@@ -11,7 +11,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from haulcast.operators import encode, folds, impute, search, target, trees
+from haulcast.operators import encode, ensemble, folds, impute, scale, search, target, trees
+from haulcast.operators import linear as lm
 from haulcast.plans.registry import bucket, query, r, rounded, ships
 from haulcast.roles import SHIPMENTS
 from haulcast.session import materialise
@@ -220,3 +221,24 @@ def search_random(spark, d):
     ranges = {"rate": (0.01, 0.1, "log"), "depth": (2, 5, "int"), "subsample": (0.6, 1.0)}
     return search.search_trees(train, numeric, labels, "y", base, search.draws(ranges, 3), 2, "inner",
                                "mae_original_scale", original=Y)
+
+
+def nested_bases(spark, d):
+    """Boosted trees and a wide lasso on five grouped folds: the nested table of their predictions of log cost."""
+    df, numeric, labels = tree_frame(spark, d)
+    df = scale.scale_standard(df, numeric, F.col("is_train"))
+    train, score_rows = df.filter("is_train AND y IS NOT NULL"), df.filter("not is_train")
+    # few rounds of a large step: five folds are fitted one after another
+    config = replace(trees.LEAFWISE_SHALLOW, trees=20, rate=0.2)
+    bases = {"trees": lambda t, v: trees.fit_gbt(t, numeric, labels, "y", config, v),
+             "lasso": lambda t, v: ensemble.Pipelined(lm.fit_wide(t, numeric, labels, "y", lm.Penalty("lasso", 0.01)))}
+    return ensemble.oof_table(train, score_rows, 5, bases, "row_id", "y")
+
+
+@query("cost_by_nested_stack")
+def cost_by_nested_stack(spark, d):
+    """Costs of the score rows: half blend by error, half lasso over out-of-fold trees and wide lasso."""
+    oof, scored = ensemble.base_columns(nested_bases(spark, d), "row_id", ["trees", "lasso"])
+    oof = materialise(oof, "bases")
+    out = ensemble.blend_with_meta(oof, scored, ["trees", "lasso"], "target", 0.01)
+    return out.select("row_id", "prediction")

@@ -3,14 +3,17 @@
 Vectors of integers get one more coordinate that brings all of them to the same
 length. In that space the highest inner product with a query is the smallest
 distance to it. Every vector is keyed by its nearest pivot and its distance from
-that pivot, and the distances around a pivot are cut into rings (annuli). By the
-triangle inequality nothing in a ring is nearer to a query than the difference
-between the query's distance from the pivot and the ring. Queries visit rings in
-the order of these bounds, in rounds of growing size, and stop at the first ring
-that cannot hold a score as high as the worst of their best.
-
-Rings are cut into blocks and query sets into chunks, so a task meets a bounded
-number of either and returns at most k rows per query.
+that pivot, and the distances around a pivot are cut into rings (annuli). For each
+ring the index holds the interval of its vectors' distances from every pivot. By
+the triangle inequality nothing in a ring is nearer to a query than the difference
+between the query's distance from any pivot and that interval; the largest of these
+differences is the bound. Queries visit rings in the order of their bounds, in
+rounds of growing size, and stop at the first ring that cannot hold a score as high
+as the worst of their best.
+
+Rings are cut into blocks, and the visitors of a block into chunks, so a task meets
+a bounded number of either and returns at most k rows per query. A block is copied
+once for each chunk of its visitors, and not at all where no query visits it.
 
 Edge cases: vectors that are null, hold null or non-finite components, or have a
 null id take no part. Shorter vectors count as filled with zeros. Rows may repeat:
@@ -35,6 +38,8 @@ from haulcast.session import materialise
 SAMPLE = 4_000
 PIVOTS, RINGS = 64, 8
 BLOCK_ROWS, CHUNK_QUERIES = 8_192, 4_096
+#: Stands for the worst score of a query that has fewer than k so far.
+NO_SCORE = -(1 << 63)
 #: Rings a query visits up to the end of each round; the last round takes all that the bound leaves.
 ROUNDS = (8, 64, None)
 SEED = 5
@@ -68,20 +73,26 @@ def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Rings:
-    """Pivots, and each ring's pivot, inner and outer distance and number of blocks: pivots * rings entries at most."""
+    """Pivots, and for each ring its number of blocks and its smallest and largest distance from every pivot.
+
+    The intervals are matrices of rings (rows) and pivots (columns), of pivots * rings rows at most.
+    """
 
     width: int
     longest: float
     pivots: np.ndarray
-    ring_pivot: np.ndarray
     inner: np.ndarray
     outer: np.ndarray
     blocks: np.ndarray
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Smallest possible squared distance of each query (row) to each ring (column)."""
-        d = distances(np.column_stack([queries.astype(float), np.zeros(len(queries))]), self.pivots)[:, self.ring_pivot]
-        return np.maximum(0, np.maximum(d - self.outer, self.inner - d)) ** 2
+        d = distances(np.column_stack([queries.astype(float), np.zeros(len(queries))]), self.pivots)
+        gap = np.zeros((len(queries), len(self.blocks)))
+        for p in range(len(self.pivots)):
+            to_pivot = d[:, p, None]
+            np.maximum(gap, np.maximum(to_pivot - self.outer[:, p], self.inner[:, p] - to_pivot), out=gap)
+        return gap ** 2
 
 
 @dataclass
@@ -144,17 +155,38 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, bl
     ringed = keyed.join(F.broadcast(table), F.col("pivot") == F.col("_pivot"))
     number = F.size(F.filter("_edges", lambda e: e < F.col("dist")))
     ringed = ringed.select("_row", "id", "vector", "dist", (F.col("pivot") * rings + number).alias("_slot"))
-    shape = sorted(map(tuple, ringed.groupBy("_slot").agg(
-        F.min("dist"), F.max("dist"), F.count("*")).collect()))  # at most pivots * rings rows
-    slot, inner, outer, counts = (np.array(c) for c in zip(*shape))
-    blocks = -(-counts // block_rows)
-    numbers = spark.createDataFrame([(int(s), k, int(b)) for k, (s, b) in enumerate(zip(slot, blocks))], "_s int, ring int, _b int")
-    placed = ringed.join(F.broadcast(numbers), F.col("_slot") == F.col("_s")).select(
-        "_row", "id", "vector", "ring", F.pmod(F.xxhash64("_row"), F.col("_b")).cast("int").alias("block"))
-    return PivotIndex(placed, Rings(width, longest, centres, slot // rings, inner, outer, blocks))
+    slots = sorted(map(tuple, ringed.groupBy("_slot").count().collect()))  # at most pivots * rings rows
+    blocks = -(-np.array([n for _, n in slots]) // block_rows)
+    numbers = spark.createDataFrame([(s, k, int(b)) for k, ((s, _), b) in enumerate(zip(slots, blocks))], "_s int, ring int, _b int")
+    placed = materialise(ringed.join(F.broadcast(numbers), F.col("_slot") == F.col("_s")).select(
+        "_row", "id", "vector", "ring", F.pmod(F.xxhash64("_row"), F.col("_b")).cast("int").alias("block")), "placed")
+    inner, outer = _intervals(placed, width, longest, centres, len(slots))
+    return PivotIndex(placed, Rings(width, longest, centres, inner, outer, blocks))
 
 
-def _visits(rings: Rings, begin: int, end: int | None, chunks: int) -> Callable:
+def _intervals(placed: DataFrame, width: int, longest: float, centres: np.ndarray, rings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest distance of each ring's vectors (rows) from each pivot (columns)."""
+
+    def widen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inner, outer = np.full((rings, len(centres)), np.inf), np.full((rings, len(centres)), -np.inf)
+        for b in batches:
+            d, ring = distances(lifted(matrix(b["vector"], width), longest), centres), b["ring"].to_numpy()
+            np.minimum.at(inner, ring, d)
+            np.maximum.at(outer, ring, d)
+        met = np.flatnonzero(outer[:, 0] >= 0)
+        yield pd.DataFrame({"ring": np.repeat(met, len(centres)), "pivot": np.tile(np.arange(len(centres)), len(met)),
+                            "low": inner[met].ravel(), "high": outer[met].ravel()})
+
+    found = placed.select("ring", "vector").mapInPandas(widen, "ring int, pivot int, low double, high double")
+    # one row for each ring and pivot, so at most pivots * pivots * rings
+    rows = found.groupBy("ring", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    inner, outer = np.zeros((rings, len(centres))), np.zeros((rings, len(centres)))
+    inner[rows["ring"], rows["pivot"]] = rows["low"]
+    outer[rows["ring"], rows["pivot"]] = rows["high"]
+    return inner, outer
+
+
+def _visits(rings: Rings, begin: int, end: int | None) -> Callable:
     """Rings that each query visits in this round, a row for each block of a ring."""
     slack = 1e-6 * (1 + rings.longest)
 
@@ -165,8 +197,8 @@ def _visits(rings: Rings, begin: int, end: int | None, chunks: int) -> Callable:
                 q = matrix(b["vector"], rings.width)
                 bound = rings.bounds(q)
                 norm = (q.astype(float) ** 2).sum(axis=1) + rings.longest
-                worst = b["worst"].to_numpy(float, na_value=np.nan)
-                reach = np.where(np.isnan(worst), np.inf, norm - 2 * np.nan_to_num(worst)) + slack
+                worst = b["worst"].to_numpy()
+                reach = np.where(worst == NO_SCORE, np.inf, norm - 2.0 * worst) + slack
                 order = np.argsort(bound, axis=1, kind="stable")[:, begin:end]
                 rows, cols = np.nonzero(np.take_along_axis(bound, order, axis=1) <= reach[:, None])
                 ring = order[rows, cols]
@@ -175,9 +207,7 @@ def _visits(rings: Rings, begin: int, end: int | None, chunks: int) -> Callable:
                 ring = np.repeat(ring, rings.blocks[ring])
                 picked = b.iloc[rows]
                 yield pd.DataFrame({
-                    "_query": picked["_query"].to_numpy(), "worst": picked["worst"].to_numpy(), "ring": ring.astype(np.int32),
-                    "block": block.astype(np.int32), "chunk": (picked["_query"].to_numpy() % chunks).astype(np.int32),
-                    "vector": picked["vector"].to_numpy()})
+                    "_query": picked["_query"].to_numpy(), "ring": ring.astype(np.int32), "block": block.astype(np.int32)})
 
     return run
 
@@ -192,8 +222,7 @@ def _meet(width: int, k: int) -> Callable:
         ids, rows = vectors["id"].to_numpy(), vectors["_row"].to_numpy()
         order = np.lexsort((rows, ids))
         ids, rows, stored = ids[order], rows[order], matrix(vectors["vector"].iloc[order], width)
-        worst = queries["worst"].to_numpy(float, na_value=np.nan)
-        worst, asks = np.where(np.isnan(worst), -np.inf, worst), queries["_query"].to_numpy()
+        worst, asks = queries["worst"].to_numpy(), queries["_query"].to_numpy()
         out = []
         for start in range(0, len(queries), 256):
             part = slice(start, start + 256)
@@ -214,20 +243,23 @@ def search(index: PivotIndex | None, is_query: Column, k: int, empty: DataFrame,
     if index is None:
         return empty.sparkSession.createDataFrame([], schema)
     asked = materialise(index.vectors.filter(is_query).select(F.col("_row").alias("_query"), F.col("id").alias("query_id"), "vector"), "queries")
-    chunks = max(1, -(-asked.count() // chunk_queries))
-    stored = index.vectors.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    stored = stored.select("ring", "block", "chunk", "_row", "id", "vector")
     best, begin, rank = None, 0, Window.partitionBy("_query").orderBy(F.desc("score"), "vec_id", "_row")
     for end in rounds:
-        state = asked.withColumn("worst", F.lit(None).cast("long"))
+        state = asked.withColumn("worst", F.lit(NO_SCORE))
         if best is not None:
-            worst = best.groupBy("_query").agg(F.when(F.count("*") >= k, F.min("score")).alias("worst"))
-            state = asked.join(worst, "_query", "left")
-        visits = state.select("_query", "worst", "vector").mapInPandas(
-            _visits(index.rings, begin, end, chunks),
-            "_query long, worst long, ring int, block int, chunk int, vector array<long>")
+            worst = best.groupBy("_query").agg(F.when(F.count("*") >= k, F.min("score")).alias("_worst"))
+            state = asked.join(worst, "_query", "left").withColumn("worst", F.coalesce("_worst", F.lit(NO_SCORE)))
+        state = materialise(state.select("_query", "worst", "vector"), "state")
+        visits = materialise(state.mapInPandas(_visits(index.rings, begin, end), "_query long, ring int, block int"), "visits")
+        # a row for each visited block
+        chunks = materialise(visits.groupBy("ring", "block").agg(
+            F.ceil(F.count("*") / F.lit(float(chunk_queries))).cast("int").alias("_chunks")), "chunks")
+        asking = visits.join(chunks, ["ring", "block"]).select(
+            "_query", "ring", "block", F.pmod(F.xxhash64("_query"), F.col("_chunks")).cast("int").alias("chunk")).join(state, "_query")
+        stored = index.vectors.join(chunks, ["ring", "block"]).select(
+            "ring", "block", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), "_row", "id", "vector")
         keys = ["ring", "block", "chunk"]
-        found = stored.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(
+        found = stored.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(
             _meet(index.rings.width, k), "_query long, _row long, vec_id long, score long")
         found = found if best is None else best.unionAll(found)
         best = materialise(found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from haulcast.llm import vector_search
@@ -59,3 +60,41 @@ def test_edges(spark):
 def test_large_products_stay_exact():
     a = np.array([[1 << 30, 3, 1]], np.int64)
     assert vector_search.products(a, a)[0, 0] == (1 << 60) + 10
+
+
+def test_worst_score_stays_an_integer(spark):
+    """Scores above 2^53 that differ by one: a worst score kept as a double would drop or add ties."""
+    big = 1 << 20
+    rows = [(k, [float(big), float(1 + k % 7) / 256]) for k in range(120)]
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, score string")
+    index = vector_search.build_index(df.select(F.col("vec_id").alias("id"), vector_search.scaled().alias("vector")),
+                                      pivots=3, rings=4, block_rows=16)
+    got = vector_search.search(index, F.col("id") % 50 == 0, 5, df, rounds=(1, 2, 4, None), chunk_queries=1)
+    whole = [(i, [big * 256, 1 + i % 7]) for i, _ in rows]
+    want = []
+    for q, a in whole[::50]:
+        scores = sorted((-(a[0] * b[0] + a[1] * b[1]), i) for i, b in whole if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_bounds_hold_and_prune(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 20, (8, 6))
+    rows = [(k, (centres[k % 8] + rng.normal(0, 0.1, 6)).tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    from pyspark.sql import functions as F
+    index = vector_search.build_index(df.select("id", vector_search.scaled("vector").alias("vector")), pivots=8, rings=2)
+    stored = index.vectors.toPandas()
+    points = vector_search.matrix(stored["vector"], index.rings.width)
+    lifted = vector_search.lifted(points, index.rings.longest)
+    bounds = index.rings.bounds(points)
+    own = np.column_stack([points.astype(float), np.zeros(len(points))])
+    true = ((own[:, None, :] - lifted[None, :, :]) ** 2).sum(axis=2)
+    assert (bounds[:, stored["ring"]] <= true * (1 + 1e-9) + 1e-6).all()
+    asks = stored[stored["id"] % 50 == 0].rename(columns={"_row": "_query"})
+    fifth = np.sort(points @ points[asks.index].T, axis=0)[-6]
+    visit = vector_search._visits(index.rings, 0, None)
+    visited = pd.concat(visit(iter([asks.assign(worst=fifth)])))
+    assert len(visited) < len(asks) * len(index.rings.blocks) / 2

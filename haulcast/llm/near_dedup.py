@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulcast.operators.keyed import KeyedTable
+from haulcast.operators.keyed import KeyedTable, keyed
 from haulcast.session import materialise
 
 SHINGLE = 5
@@ -191,14 +191,16 @@ def _classes(signed: DataFrame) -> DataFrame:
 def _members(firsts: DataFrame) -> DataFrame:
     """Buckets with company: key, uid, n, cnt (size of the bucket), head and nh (its leader, and the size of its set)."""
     bands = firsts.select("uid", "n", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1")
-    members = materialise(bands.join(shared, "key"), "buckets")
+    shared = bands.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1").withColumn("_share", F.col("cnt"))
+    buckets = KeyedTable.of(materialise(shared, "shared"), "key", "_share")
+    members = materialise(buckets.attach(bands).filter("cnt is not null"), "buckets")
     company = members.groupBy("uid").agg(F.sum("cnt").alias("company"))
     # the hash makes the choice among equals the same on every run
     ranked = members.join(company, "uid").withColumn(
         "rank", F.col("company") * (1 << 20) + F.pmod(F.xxhash64("uid"), F.lit(1 << 20)))
-    heads = ranked.groupBy("key").agg(F.max_by("uid", "rank").alias("head"), F.max_by("n", "rank").alias("nh"))
-    return materialise(members.join(heads, "key"), "members")
+    heads = ranked.groupBy("key").agg(F.max_by("uid", "rank").alias("head"), F.max_by("n", "rank").alias("nh"),
+                                      F.count("*").alias("_share"))
+    return materialise(KeyedTable.of(materialise(heads, "heads"), "key", "_share").attach(members), "members")
 
 
 def _near(n: str, m: str, percent: int) -> Column:
@@ -217,9 +219,10 @@ def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
     known = members.join(linked, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     parts = known.groupBy("key", "comp").agg(F.count("*").alias("_m"))
     # of components of one size the same one is taken on every run
-    open_ = parts.groupBy("key").agg(F.max(F.struct("_m", "comp")).alias("_top"), F.count("*").alias("_comps")).filter(
-        "_comps > 1").select("key", F.col("_top.comp").alias("main"), F.col("_top._m").alias("_most"))
-    rows = known.join(open_, "key").select("key", "uid", "n", "comp", "cnt", (F.col("comp") != F.col("main")).alias("asks"),
+    open_ = parts.groupBy("key").agg(F.max(F.struct("_m", "comp")).alias("_top"), F.count("*").alias("_comps"),
+                                     F.sum("_m").alias("_share")).filter(
+        "_comps > 1").select("key", F.col("_top.comp").alias("main"), F.col("_top._m").alias("_most"), "_share")
+    rows = KeyedTable.of(materialise(open_, "open_keys"), "key", "_share").attach(known).filter("main is not null").select("key", "uid", "n", "comp", "cnt", (F.col("comp") != F.col("main")).alias("asks"),
                                            (F.col("cnt") - F.col("_most")).alias("_askers"))
     return materialise(rows, "open")
 
@@ -345,19 +348,19 @@ def components(links: DataFrame) -> DataFrame:
     of that label, so paths of labels halve while labels spread.
     """
     both = materialise(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("_least")).select(
-        F.col("a").alias("node"), F.least("a", "_least").alias("root")), "labels")
+    labels = materialise(both.groupBy("a").agg(F.min("b").alias("_least"), F.count("*").alias("degree")).select(
+        F.col("a").alias("node"), F.least("a", "_least").alias("root"), "degree"), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("_r")), "b").groupBy("a").agg(
-            F.min("_r").alias("_near"))
+        # a hub is the neighbour of as many nodes as its degree
+        near = KeyedTable.of(labels, "node", "degree").attach(both, "b").groupBy("a").agg(F.min("root").alias("_near"))
         spread = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("root").alias("_old"), F.least("root", "_near").alias("_new"))
+            "node", "degree", F.col("root").alias("_old"), F.least("root", "_near").alias("_new"))
         hop = labels.select(F.col("node").alias("_new"), F.col("root").alias("_hop"))
         step = materialise(spread.join(hop, "_new", "left").select(
-            "node", "_old", F.least("_new", F.coalesce("_hop", "_new")).alias("root")), "labels")
-        labels = step.select("node", "root")
+            "node", "degree", "_old", F.least("_new", F.coalesce("_hop", "_new")).alias("root")), "labels")
+        labels = step.select("node", "root", "degree")
         if step.filter("root < _old").isEmpty():
-            return labels
+            return labels.drop("degree")
 
 
 def near_classes(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -386,21 +389,22 @@ def _link(linked: DataFrame, pairs: DataFrame, full: DataFrame, percent: int) ->
 
 def _merge(linked: DataFrame, links: DataFrame) -> DataFrame:
     """Components after new links between classes."""
-    of = lambda id_, comp: linked.select(F.col("uid").alias(id_), F.col("comp").alias(comp))
-    between = links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(
-        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
+    known = KeyedTable.of(linked, "uid")
+    begun = known.attach(links, "a").select(F.coalesce("comp", "a").alias("a"), "b")
+    between = known.attach(begun, "b").select("a", F.coalesce("comp", "b").alias("b")).filter("a <> b")
     roots = components(between.distinct())
     new = roots.select(F.col("node").alias("uid"), F.col("root").alias("comp"))
-    moved = linked.join(roots, linked["comp"] == roots["node"], "left").select("uid", F.coalesce("root", "comp").alias("comp"))
+    moved = KeyedTable.of(roots, "node").attach(linked, "comp").select("uid", F.coalesce("root", "comp").alias("comp"))
     return materialise(moved.unionAll(new.join(linked.select("uid"), "uid", "left_anti")), "components")
 
 
 def _labelled(docs: DataFrame, limits: Limits) -> DataFrame:
     """doc_id, thash, n_shingles, component_id, kept."""
     signed, sets, linked = near_classes(docs, limits)
-    placed = sets.join(linked, "uid", "left")
-    names = placed.filter("comp is not null").groupBy("comp").agg(F.min("least").alias("_least"))
-    named = placed.join(names, "comp", "left").select(
+    placed = materialise(sets.join(linked, "uid", "left"), "placed")
+    # one component may hold a third of all sets, and unlinked sets have none
+    names = keyed(placed, "comp", {"_least": F.min("least")}, "names")
+    named = names.attach(placed).select(
         "fp", "copies", F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("_least")).alias("component_id"))
     joined = KeyedTable.of(materialise(named, "named"), "fp", "copies").attach(signed.select("doc_id", "thash", "n", "fp"))
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

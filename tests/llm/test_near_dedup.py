@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from haulcast.llm import near_dedup
+from haulcast.operators import keyed
 
 SCHEMA = "doc_id long, text string, n int, comp string"
 
@@ -51,6 +52,9 @@ def changed(words, rng, share):
 def test_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK_ASKERS", block)
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", block)
+    if block == 3:  # tables of keys are too large to broadcast
+        monkeypatch.setattr(keyed, "BROADCAST_KEYS", 5)
+        monkeypatch.setattr(keyed, "HOT_KEYS", 20)
     rng = random.Random(3)
     data = []
     for _ in range(12):  # groups of copies around a base

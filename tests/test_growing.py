@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from haulcast.operators import growing, search, trees
@@ -88,12 +89,17 @@ def test_no_rows_are_kept_in_the_cache(spark, table):
     assert seen == before and found.filter("score > 0").count() == 2
 
 
-def test_cuts_of_few_and_many_values():
-    few = growing.thresholds(np.array([1.0, 2.0, 4.0]), np.array([5, 1, 1]), 5)
-    assert few.tolist() == [1.5, 3.0]
-    even = growing.thresholds(np.arange(100.0), np.ones(100), 3)
-    assert even.tolist() == [24.5, 49.5, 74.5]
-    assert growing.thresholds(np.array([3.0]), np.array([9]), 5).tolist() == []
+def test_cuts_are_those_of_sparks_learner(table):
+    """With all rows and features, the stage grows the trees that Spark's boosting does, also from cuts of some rows."""
+    assert table.count() < 10_000
+    wide = table.crossJoin(table.sparkSession.range(5).select(F.col("id").alias("more"))).withColumn(
+        "a", F.col("a") + F.col("more") / 8).withColumn("id", F.col("id") * 5 + F.col("more"))
+    model = trees.fit_gbt(wide, ["a", "b"], ["c"], "y", CONFIG)
+    ready = model.assembler.transform(wide).coalesce(1)
+    learner = GBTRegressor(labelCol="y", maxIter=CONFIG.trees, maxDepth=CONFIG.depth, stepSize=CONFIG.rate / 2,
+                           minInstancesPerNode=CONFIG.min_rows, maxBins=CONFIG.bins, seed=CONFIG.seed, predictionCol="p")
+    want = {r.id: r.p for r in learner.fit(ready).transform(ready).collect()}
+    assert predicted(model, wide) == pytest.approx(want)
 
 
 @pytest.mark.parametrize("mapped", [1, 1 << 30])
